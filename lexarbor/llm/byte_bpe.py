@@ -197,13 +197,14 @@ def bpe_decode(encoded: DataFrame, ranks_path: str) -> DataFrame:
     return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, n_tokens long, ids_bytes binary, decoded binary")
 
 
-def digests(docs: DataFrame) -> DataFrame:
+def round_trip(docs: DataFrame) -> DataFrame:
+    """(doc_id, n_tokens, ids_bytes, ids_sha256, decoded_sha256) of docs by the public 50k byte-level vocabulary."""
     import public_tokenizers
 
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
     out = bpe_decode(bpe_encode(docs, path, public_tokenizers.PATTERN), path)
-    return out.select("doc_id", "n_tokens", F.sha2("ids_bytes", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+    return out.select("doc_id", "n_tokens", "ids_bytes", F.sha2("ids_bytes", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
 def op4_byte_bpe(spark, sf_dir: str) -> DataFrame:
-    return digests(table(spark, sf_dir, "documents"))
+    return round_trip(table(spark, sf_dir, "documents")).drop("ids_bytes")
