@@ -3,7 +3,8 @@
 Encoding: a task parts its texts into pre-tokens and writes them per block of texts as positions in the block's word
 list (each distinct word of a block leaves it once, however common it is). The words are dealt out by hash, so that each
 distinct word of the corpus is in one task and encoded once there; its ids go back to the blocks that asked for it,
-where texts are put together by position. Words travel packed, a row per (block, bucket). Decoding joins the token-byte
+where texts are put together by position. Words travel packed, a row per (block, bucket); positions stay where they are,
+in a table with buckets by block. Decoding joins the token-byte
 table, which is as large as the vocabulary and so broadcast.
 """
 
@@ -22,12 +23,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import partitions, staged, table
+from .common import partitions, staged_buckets, table
 
 #: A block ends after so many characters; a text is never split over blocks.
-BLOCK_CHARS = 32_000_000
+BLOCK_CHARS = 12_000_000
 #: Above this length the pre-tokens of one text are read one by one, so that only their numbers are in memory.
-LONG_TEXT = 4_000_000
+LONG_TEXT = 2_000_000
 #: A task forgets its encoded words beyond this number; a word that comes again is then encoded again.
 MEMO_WORDS = 2_000_000
 
@@ -142,7 +143,7 @@ def assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 where = np.arange(total) + np.repeat(start[words] - (ends - counts), counts)
                 rows.append((doc_id, flat[where].astype(np.int32)))
                 pending += total
-                if pending > 1_000_000:
+                if pending > 250_000:
                     yield _id_rows(rows)
                     rows, pending = [], 0
             if rows:
@@ -165,7 +166,7 @@ def bpe_encode(docs: DataFrame, ranks_path: str, pattern: str, *, id_col: str =
     n_buckets = partitions(spark)
     ranks = spark.sparkContext.broadcast(load_ranks(ranks_path))
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    blocks = staged(texts.mapInArrow(split_blocks(pattern, n_buckets, block_chars), BLOCK_SCHEMA), "bpe-blocks")
+    blocks = staged_buckets(texts.mapInArrow(split_blocks(pattern, n_buckets, block_chars), BLOCK_SCHEMA), "bpe-blocks", "block", n_buckets)
     asked = blocks.select("block", F.explode("words").alias("w")).select("block", "w.bucket", "w.packed")
     coded = asked.repartition(n_buckets, "bucket").mapInArrow(encode_words(ranks), "block long, bucket int, packed binary")
     coded = coded.groupBy("block").agg(F.collect_list(F.struct("bucket", "packed")).alias("coded"))
