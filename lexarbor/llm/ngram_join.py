@@ -8,8 +8,8 @@
    the frequent ones by binary search (long lists, DivideSkip). Members of a component that the set is already linked
    with are skipped, so a group of copies costs its size, not its square.
 4. What the chunks have not met: a set visits each other chunk where a set of another component has one of its rarest
-   shingles (prefix filter: a pair above the threshold shares one). First a few sets per component go, then all that
-   still have somewhere to go. Sets of the smaller component go to the chunks of the larger one.
+   shingles (prefix filter: a pair above the threshold shares one). Twice a few sets per component go to the heaviest
+   component that a shingle has, then all that still have somewhere to go, from lighter to heavier components.
 Links are exact on 48-bit shingle hashes; only links that connect something new are kept.
 """
 
@@ -22,10 +22,10 @@ import pyarrow as pa
 import xxhash
 import zstandard
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import partitions, staged, table
+from .common import partitions, release, staged, table
 from .components import components
 
 WORDS, PERCENT = 5, 75
@@ -293,16 +293,33 @@ def build_chunks(percent: int, chunk_sets: int):
     return run
 
 
-def rare_parts(percent: int):
-    """mapInArrow: chunks to (h, node, n, chunk), the rarest shingles of each set of which one is shared with any partner."""
-    schema = pa.schema([("h", pa.int64()), ("node", pa.int64()), ("n", pa.int64()), ("chunk", pa.int64())])
+RARE_SQL = "h long, label long, weight long, chunk long, low long, high long, going array<struct<node:long,n:long>>"
+
+
+def rare_lists(percent: int, hubs: int | None):
+    """mapInArrow: (chunk, nodes, sizes, shared, roots, labels) to a row per rare shingle, component and chunk.
+
+    Rare are the rarest shingles of a set of which one is shared with any partner. low and high bound the sizes of the
+    sets that have it here; going are those that may visit other chunks: with hubs, about so many of a component.
+    """
+    schema = pa.schema([(x, pa.int64()) for x in ("h", "label", "weight", "chunk", "low", "high")] + [("going", pa.list_(pa.struct([("node", pa.int64()), ("n", pa.int64())])))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
-                parts = [from_six_bytes(s)[: max(0, len(s) // 6 - -(-percent * n // 100) + 1)] for s, n in zip(row["shared"], row["sizes"], strict=True)]
-                times = [len(p) for p in parts]
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(parts).astype(np.int64)), pa.array(np.repeat(row["nodes"], times)), pa.array(np.repeat(row["sizes"], times)), pa.array(np.full(sum(times), row["chunk"]))], schema=schema)
+                of = {x["root"]: (x["label"], x["weight"]) for x in row["labels"]}
+                found: dict[tuple[int, int], list] = {}
+                for node, n, root, packed in zip(row["nodes"], row["sizes"], row["roots"], row["shared"], strict=True):
+                    label, weight = of[root]
+                    part = packed[: 6 * max(0, len(packed) // 6 - -(-percent * n // 100) + 1)]
+                    goes = hubs is None or node == label or xxhash.xxh3_64_intdigest(node.to_bytes(8, "little", signed=True)) % weight < hubs
+                    for h in from_six_bytes(part).tolist():
+                        if (got := found.get((h, label))) is None:
+                            got = found[h, label] = [h, label, weight, row["chunk"], n, n, []]
+                        got[4], got[5] = min(got[4], n), max(got[5], n)
+                        if goes:
+                            got[6].append({"node": node, "n": n})
+                yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*found.values(), strict=True) if found else [[]] * 7, schema, strict=True)], schema=schema)
 
     return run
 
@@ -325,22 +342,33 @@ def visit_chunks(percent: int):
     return run
 
 
-def _visits(chunks: DataFrame, sets: DataFrame, rare: DataFrame, labels: DataFrame, percent: int, hubs: int | None) -> DataFrame:
-    """Links (a, b) found by sets that visit other chunks; hubs: at most so many of a component go, None: all."""
-    known = rare.join(labels, "node")
-    here = known.groupBy("h", "label", "weight", "chunk").agg(F.min("n").alias("low"), F.max("n").alias("high"))
-    several = here.groupBy("h").agg((F.min("label") < F.max("label")).alias("mixed")).where("mixed").select("h")
-    going = known if hubs is None else known.where(F.col("rank") <= hubs)
-    going = going.join(several, "h", "left_semi").select("h", F.col("node").alias("visitor"), "n", F.col("label").alias("from"), F.col("weight").alias("light"))
-    there = here.join(several, "h", "left_semi")
-    heavier = (F.col("light") < F.col("weight")) | ((F.col("light") == F.col("weight")) & (F.col("from") < F.col("label")))
-    near = (percent * F.col("n") <= 100 * F.col("high")) & (percent * F.col("low") <= 100 * F.col("n"))
-    pairs = going.join(there, "h").where(heavier & near).select("visitor", "chunk", F.col("from").alias("label")).distinct()
+def _visits(chunks: DataFrame, sets: DataFrame, labels: DataFrame, percent: int, every: bool) -> DataFrame:
+    """Links (a, b) found by sets that visit chunks of other components with which they share a rare shingle.
+
+    Unless `every`, only hubs go, and per shingle only to the heaviest component there: a star, so that copies that
+    several chunks hold come together in as many visits as there are chunks. With `every`, all sets of a component go to
+    the chunks of all heavier ones. A shingle that one component alone has leads nowhere.
+    """
+    of = chunks.select("chunk", F.explode(F.array_distinct("roots")).alias("node")).join(labels, "node")
+    of = of.groupBy("chunk").agg(F.collect_list(F.struct(F.col("node").alias("root"), "label", "weight")).alias("labels"))
+    labelled = chunks.join(of, "chunk")
+    rare = labelled.select("chunk", "nodes", "sizes", "shared", "roots", "labels").mapInArrow(rare_lists(percent, None if every else HUBS), RARE_SQL)
+    at = Window.partitionBy("h")
+    heaviest = F.max(F.struct("weight", "label", "chunk", "low", "high")).over(at)
+    mixed = rare.withColumn("least", F.min("label").over(at)).withColumn("most", F.max("label").over(at)).withColumn("to", heaviest).where("least < most")
+    near = lambda n, low, high: (percent * n <= 100 * high) & (percent * low <= 100 * n)
+    if every:
+        mixed = staged(mixed.drop("to", "least", "most"), "ngram-mixed")
+        going = mixed.where(F.size("going") > 0).select("h", F.col("label").alias("from"), F.col("weight").alias("light"), "going")
+        there = mixed.select("h", "label", "weight", "chunk", "low", "high")
+        heavier = (F.col("light") < F.col("weight")) | ((F.col("light") == F.col("weight")) & (F.col("from") < F.col("label")))
+        legs = going.join(there, "h").where(heavier).select(F.explode("going").alias("x"), "chunk", F.col("from").alias("label"), "low", "high")
+    else:
+        legs = mixed.where("label <> to.label").select(F.explode("going").alias("x"), F.col("to.chunk").alias("chunk"), "label", F.col("to.low").alias("low"), F.col("to.high").alias("high"))
+    pairs = legs.where(near(F.col("x.n"), F.col("low"), F.col("high"))).select(F.col("x.node").alias("visitor"), "chunk", "label").distinct()
     carried = pairs.join(sets.select(F.col("node").alias("visitor"), "n", "shared"), "visitor")
     visitors = carried.groupBy("chunk").agg(F.collect_list(F.struct(F.col("visitor").alias("node"), "n", "label", "shared")).alias("visitors"))
-    at = chunks.select("chunk", F.explode(F.array_distinct("roots")).alias("node")).join(labels.select("node", "label"), "node")
-    at = at.groupBy("chunk").agg(F.collect_list(F.struct(F.col("node").alias("root"), "label")).alias("labels"))
-    work = visitors.join(at, "chunk").join(chunks, "chunk").select("nodes", "sizes", "roots", "shared", "labels", "visitors")
+    work = labelled.join(visitors, "chunk").select("nodes", "sizes", "roots", "shared", "labels", "visitors")
     return staged(work.mapInArrow(visit_chunks(percent), "a long, b long"), "ngram-links")
 
 
@@ -364,17 +392,14 @@ def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     chunks = staged(ordered.mapInArrow(build_chunks(percent, chunk_sets), CHUNK_SQL), "ngram-chunks")
     pairs = chunks.select(F.explode(F.arrays_zip("nodes", "roots")).alias("x")).select(F.col("x.nodes").alias("a"), F.col("x.roots").alias("b"))
     same = rows.where("same_as <> doc_id").select(F.col("doc_id").alias("a"), F.col("same_as").alias("b"))
-    rare = staged(chunks.select("chunk", "nodes", "sizes", "shared").mapInArrow(rare_parts(percent), "h long, node long, n long, chunk long"), "ngram-rare")
-    found = components(pairs)
-    links = pairs
-    for hubs in (HUBS, None):
-        every = chunks.select(F.explode("nodes").alias("node")).distinct().join(found, "node", "left").select("node", F.coalesce("label", "node").alias("label"))
-        weight = every.groupBy("label").agg(F.count("*").alias("weight"))
-        rank = F.pmod(F.xxhash64("node"), F.lit(1 << 40))
-        labels = every.join(weight, "label").withColumn("rank", F.when(F.col("node") == F.col("label"), 0).otherwise(F.floor(rank / (F.lit(1 << 40) / F.col("weight")))))
-        more = _visits(chunks, sets, rare, staged(labels, "ngram-labels"), percent, hubs)
+    found, links = components(pairs), pairs
+    for every in (False, False, True):
+        labels = chunks.select(F.explode(F.array_distinct("roots")).alias("node")).distinct().join(found, "node", "left").select("node", F.coalesce("label", "node").alias("label"))
+        sizes = pairs.join(labels, F.col("b") == F.col("node")).groupBy("label").agg(F.count("*").alias("weight"))
+        more = _visits(chunks, sets, staged(labels.join(sizes, "label").select("node", "label", "weight"), "ngram-labels"), percent, every)
         links = links.unionByName(more)
-        found = components(links.unionByName(same) if hubs is None else links)
+        found = components(links.unionByName(same) if every else links)
+        release(spark)
     return rows.join(found, rows["doc_id"] == found["node"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("label", "doc_id").alias("component_id"))
 
 
