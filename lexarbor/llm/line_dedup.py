@@ -73,7 +73,8 @@ def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
 
     Two shuffles of (hash, id), pre-aggregated, one of the ids with something to drop, and one of the texts. The common
     lines are staged, so they are broadcast only if they are small; else the join is by sort-merge, whose skewed side (a
-    line that a third of the documents share) adaptive execution splits.
+    line that a third of the documents share) adaptive execution splits. The texts are joined by sort-merge at every size,
+    as the ids with something to drop grow with the corpus.
     """
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     lines = source.mapInArrow(line_hashes(min_chars), "doc_id long, digest binary")
@@ -81,7 +82,7 @@ def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     common = staged(counted.where(F.col("n") >= min_docs).select("digest", "keeper"), "line-common")
     hits = lines.join(common, "digest").where(~F.col("doc_id").eqNullSafe(F.col("keeper")))
     per_doc = staged(hits.groupBy(F.col("doc_id").alias("__doc_id")).agg(F.collect_set("digest").alias("__dropped")), "line-dropped")
-    joined = docs.join(per_doc, F.col(id_col).cast("long").eqNullSafe(F.col("__doc_id")), "left").select(*docs.columns, "__dropped")
+    joined = docs.join(per_doc.hint("merge"), F.col(id_col).cast("long").eqNullSafe(F.col("__doc_id")), "left").select(*docs.columns, "__dropped")
     taken = set(docs.columns)
     extra = ["_" * (name in taken) + name for name in ("n_lines", "n_dropped")]
     out = docs.select("*", *(F.lit(0).cast("long").alias(x) for x in extra)).schema
