@@ -26,9 +26,9 @@ from pyspark.sql import functions as F
 from .common import partitions, staged_buckets, table
 
 #: A block ends after so many characters; a text is never split over blocks.
-BLOCK_CHARS = 12_000_000
+BLOCK_CHARS = 6_000_000
 #: Above this length the pre-tokens of one text are read one by one, so that only their numbers are in memory.
-LONG_TEXT = 2_000_000
+LONG_TEXT = 1_000_000
 #: A task forgets its encoded words beyond this number; a word that comes again is then encoded again.
 MEMO_WORDS = 2_000_000
 
@@ -143,7 +143,7 @@ def assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 where = np.arange(total) + np.repeat(start[words] - (ends - counts), counts)
                 rows.append((doc_id, flat[where].astype(np.int32)))
                 pending += total
-                if pending > 250_000:
+                if pending > 100_000:
                     yield _id_rows(rows)
                     rows, pending = [], 0
             if rows:
