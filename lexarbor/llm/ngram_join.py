@@ -347,9 +347,9 @@ def _visits(chunks: DataFrame, sets: DataFrame, labels: DataFrame, percent: int,
 
     Unless `every`, only hubs go, and per shingle only to the heaviest component there: a star, so that copies that
     several chunks hold come together in as many visits as there are chunks. With `every`, all sets of a component go to
-    the chunks of all heavier ones. A shingle that one component alone has leads nowhere. What goes from one chunk to
-    another is bundled over the shingles before it is taken apart, so a set that shares many of them goes once; a bundle
-    is bounded by the sets of its home chunk.
+    the chunks of all heavier ones. A shingle that one component alone has leads nowhere. What goes from a chunk is
+    bundled over the shingles before it is taken apart (with `every`, towards a component, and only then towards that
+    component's chunks), so a set that shares many shingles goes once; a bundle is bounded by the sets of its home chunk.
     """
     of = chunks.select("chunk", F.explode(F.array_distinct("roots")).alias("node")).join(labels, "node")
     of = of.groupBy("chunk").agg(F.collect_list(F.struct(F.col("node").alias("root"), "label", "weight")).alias("labels"))
@@ -360,17 +360,18 @@ def _visits(chunks: DataFrame, sets: DataFrame, labels: DataFrame, percent: int,
     mixed = rare.withColumn("least", F.min("label").over(at)).withColumn("most", F.max("label").over(at)).withColumn("to", heaviest).where("least < most")
     if every:
         mixed = staged(mixed.drop("to", "least", "most"), "ngram-mixed")
-        going = mixed.where(F.size("going") > 0).select("h", F.col("chunk").alias("home"), F.col("label").alias("from"), F.col("weight").alias("light"), "going")
-        there = mixed.select("h", "label", "weight", "chunk", "low", "high")
+        going = mixed.where(F.size("going") > 0).select("h", F.col("chunk").alias("home"), F.col("label").alias("from"), F.col("weight").alias("light"), F.col("going.node").alias("going"))
         heavier = (F.col("light") < F.col("weight")) | ((F.col("light") == F.col("weight")) & (F.col("from") < F.col("label")))
-        legs = going.join(there, "h").where(heavier).select("home", "going", "chunk", F.col("from").alias("label"), "low", "high")
+        met = going.join(mixed.select("h", "label", "weight").distinct(), "h").where(heavier)
+        towards = met.groupBy("home", "from", "label").agg(F.array_distinct(F.flatten(F.collect_set("going"))).alias("going"))
+        places = mixed.groupBy("label", "chunk").agg(F.min("low").alias("low"), F.max("high").alias("high"))
+        legs = towards.join(places, "label").select(F.col("from").alias("label"), "chunk", "low", "high", F.explode("going").alias("visitor"))
     else:
-        legs = mixed.where("label <> to.label").select(F.col("chunk").alias("home"), "going", F.col("to.chunk").alias("chunk"), "label", F.col("to.low").alias("low"), F.col("to.high").alias("high"))
-    fitting = F.filter("going", lambda x: (percent * x["n"] <= 100 * F.col("high")) & (percent * F.col("low") <= 100 * x["n"]))
-    legs = legs.select("home", "label", "chunk", F.transform(fitting, lambda x: x["node"]).alias("going")).where(F.size("going") > 0)
-    bundles = legs.groupBy("home", "label", "chunk").agg(F.array_distinct(F.flatten(F.collect_set("going"))).alias("going"))
-    pairs = bundles.select(F.explode("going").alias("visitor"), "chunk", "label")
-    carried = pairs.join(sets.select(F.col("node").alias("visitor"), "n", "shared"), "visitor")
+        legs = mixed.where("label <> to.label").select(F.col("chunk").alias("home"), F.col("going.node").alias("going"), "label", "to.chunk", "to.low", "to.high")
+        bundles = legs.groupBy("home", "label", "chunk").agg(F.min("low").alias("low"), F.max("high").alias("high"), F.array_distinct(F.flatten(F.collect_set("going"))).alias("going"))
+        legs = bundles.select("label", "chunk", "low", "high", F.explode("going").alias("visitor"))
+    carried = legs.join(sets.select(F.col("node").alias("visitor"), "n", "shared"), "visitor")
+    carried = carried.where((percent * F.col("n") <= 100 * F.col("high")) & (percent * F.col("low") <= 100 * F.col("n")))
     visitors = carried.groupBy("chunk").agg(F.collect_list(F.struct(F.col("visitor").alias("node"), "n", "label", "shared")).alias("visitors"))
     work = labelled.join(visitors, "chunk").select("nodes", "sizes", "roots", "shared", "labels", "visitors")
     return staged(work.mapInArrow(visit_chunks(percent), "a long, b long"), "ngram-links")

@@ -46,6 +46,28 @@ def test_ngram_join_against_brute_force(docs):
     assert ngram_join.jaccard_components(docs.limit(0)).count() == 0
 
 
+def test_ngram_join_of_families_equals_brute_force(spark):
+    rng = np.random.default_rng(7)
+    shared, texts = [f"s{k}" for k in range(40)], []
+    for family in range(6):
+        base = shared[: 8 * family] + [f"f{family}_{k}" for k in range(80)]
+        for _ in range(25):
+            words = list(base)
+            for at in rng.integers(0, len(words), rng.integers(0, 4)):
+                words[at] = f"r{rng.integers(10**9)}"
+            texts.append(" ".join(words[: rng.integers(60, len(words) + 1)]))
+    own = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in map(str.split, texts)]
+    least = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if 100 * len(own[i] & own[j]) >= 75 * len(own[i] | own[j]) and least[i] != least[j]:
+                a, b = sorted((least[i], least[j]))
+                least = [a if x == b else x for x in least]
+    assert 6 <= len(set(least)) < len(texts)
+    found = ngram_join.jaccard_components(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), chunk_sets=4, block_shingles=500).collect()
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in found} == {i: (len(own[i]), x) for i, x in enumerate(least)}
+
+
 def test_byte_bpe_round_trip(docs):
     import public_tokenizers
     import tiktoken
