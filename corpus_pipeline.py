@@ -52,7 +52,7 @@ STAGES = [
     ("mix", mix_to_weights),
     ("byte_bpe", encode_tokens),
 ]
-#: Language ID, the similarity groups and the merges can't be said in SQL; tests/llm has a brute-force version.
+#: Language ID, the similarity groups and the merges can't be said in SQL. A brute-force test is still to be written.
 ORACLE_SQL = None
 
 
