@@ -293,16 +293,18 @@ def build_chunks(percent: int, chunk_sets: int):
     return run
 
 
-RARE_SQL = "h long, label long, weight long, chunk long, low long, high long, going array<struct<node:long,n:long>>"
+RARE_SQL = "h long, label long, weight long, chunk long, low long, high long, reach long, going array<struct<node:long,n:long,top:long>>"
 
 
 def rare_lists(percent: int, hubs: int | None):
     """mapInArrow: (chunk, nodes, sizes, shared, roots, labels) to a row per rare shingle, component and chunk.
 
-    Rare are the rarest shingles of a set of which one is shared with any partner. low and high bound the sizes of the
-    sets that have it here; going are those that may visit other chunks: with hubs, about so many of a component.
+    Rare are the rarest shingles of a set of which one is shared with any partner. The rarest that a pair shares has all
+    that they share from it on, so its place in a set of n bounds the size of the partner: `left` shingles from it on
+    must be the overlap of n and that size at least (top). low and high bound the sizes of the sets that have it here,
+    reach their tops; going are those that may visit other chunks: with hubs, about so many of a component.
     """
-    schema = pa.schema([(x, pa.int64()) for x in ("h", "label", "weight", "chunk", "low", "high")] + [("going", pa.list_(pa.struct([("node", pa.int64()), ("n", pa.int64())])))])
+    schema = pa.schema([(x, pa.int64()) for x in ("h", "label", "weight", "chunk", "low", "high", "reach")] + [("going", pa.list_(pa.struct([(x, pa.int64()) for x in ("node", "n", "top")])))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -313,13 +315,14 @@ def rare_lists(percent: int, hubs: int | None):
                     label, weight = of[root]
                     part = packed[: 6 * max(0, len(packed) // 6 - -(-percent * n // 100) + 1)]
                     goes = hubs is None or node == label or xxhash.xxh3_64_intdigest(node.to_bytes(8, "little", signed=True)) % weight < hubs
-                    for h in from_six_bytes(part).tolist():
+                    for left, h in zip(range(len(packed) // 6, 0, -1), from_six_bytes(part).tolist(), strict=False):
+                        top = (100 + percent) * left // percent - n
                         if (got := found.get((h, label))) is None:
-                            got = found[h, label] = [h, label, weight, row["chunk"], n, n, []]
-                        got[4], got[5] = min(got[4], n), max(got[5], n)
+                            got = found[h, label] = [h, label, weight, row["chunk"], n, n, top, []]
+                        got[4], got[5], got[6] = min(got[4], n), max(got[5], n), max(got[6], top)
                         if goes:
-                            got[6].append({"node": node, "n": n})
-                yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*found.values(), strict=True) if found else [[]] * 7, schema, strict=True)], schema=schema)
+                            got[7].append({"node": node, "n": n, "top": top})
+                yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*found.values(), strict=True) if found else [[]] * 8, schema, strict=True)], schema=schema)
 
     return run
 
@@ -356,17 +359,20 @@ def _visits(chunks: DataFrame, sets: DataFrame, labels: DataFrame, percent: int,
     labelled = chunks.join(of, "chunk")
     rare = labelled.select("chunk", "nodes", "sizes", "shared", "roots", "labels").mapInArrow(rare_lists(percent, None if every else HUBS), RARE_SQL)
     at = Window.partitionBy("h")
-    heaviest = F.max(F.struct("weight", "label", "chunk", "low", "high")).over(at)
+    heaviest = F.max(F.struct("weight", "label", "chunk", "low", "high", "reach")).over(at)
     mixed = rare.withColumn("least", F.min("label").over(at)).withColumn("most", F.max("label").over(at)).withColumn("to", heaviest).where("least < most")
     if every:
         mixed = staged(mixed.drop("to", "least", "most"), "ngram-mixed")
-        going = mixed.where(F.size("going") > 0).select("h", F.col("chunk").alias("home"), F.col("label").alias("from"), F.col("weight").alias("light"), "going")
-        there = mixed.select("h", "label", "weight", "chunk", "low", "high")
+        least = F.array_min(F.transform("going", lambda x: x["n"])).alias("least")
+        top = F.array_max(F.transform("going", lambda x: x["top"])).alias("top")
+        going = mixed.where(F.size("going") > 0).select("h", F.col("chunk").alias("home"), F.col("label").alias("from"), F.col("weight").alias("light"), "going", least, top)
+        there = mixed.select("h", "label", "weight", "chunk", "low", "high", "reach")
         heavier = (F.col("light") < F.col("weight")) | ((F.col("light") == F.col("weight")) & (F.col("from") < F.col("label")))
-        legs = going.join(there, "h").where(heavier).select("home", "going", "chunk", F.col("from").alias("label"), "low", "high")
+        sized = (F.col("low") <= F.col("top")) & (F.col("least") <= F.col("reach"))
+        legs = going.join(there, "h").where(heavier & sized).select("home", "going", "chunk", F.col("from").alias("label"), "low", "high", "reach")
     else:
-        legs = mixed.where("label <> to.label").select(F.col("chunk").alias("home"), "going", F.col("to.chunk").alias("chunk"), "label", F.col("to.low").alias("low"), F.col("to.high").alias("high"))
-    fitting = F.filter("going", lambda x: (percent * x["n"] <= 100 * F.col("high")) & (percent * F.col("low") <= 100 * x["n"]))
+        legs = mixed.where("label <> to.label").select(F.col("chunk").alias("home"), "going", F.col("to.chunk").alias("chunk"), "label", *(F.col(f"to.{x}").alias(x) for x in ("low", "high", "reach")))
+    fitting = F.filter("going", lambda x: (percent * x["n"] <= 100 * F.col("high")) & (percent * F.col("low") <= 100 * x["n"]) & (F.col("low") <= x["top"]) & (x["n"] <= F.col("reach")))
     legs = legs.select("home", "label", "chunk", F.transform(fitting, lambda x: x["node"]).alias("going")).where(F.size("going") > 0)
     bundles = legs.groupBy("home", "label", "chunk").agg(F.array_distinct(F.flatten(F.collect_set("going"))).alias("going"))
     pairs = bundles.select(F.explode("going").alias("visitor"), "chunk", "label")
