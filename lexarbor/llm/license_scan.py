@@ -1,8 +1,9 @@
 """License scans: known sentences to identifiers, identifier sequences to licences (DataFrame functions only).
 
-A text is parted into sentences, each is normalised and looked up among the known licence sentences; a rule is a
-sequence of sentence identifiers that must occur in this order, others between them allowed. All is done row by row on
-arrays: nothing is exploded, shuffled or joined, as the two tables are constants of bounded size.
+A text is parted into pieces at line breaks and marks that may end a sentence. A known sentence is found where its
+words are one piece or several pieces in a row, so notices are found as published: wrapped, in comments, or with a colon
+inside. A rule is a sequence of sentence identifiers that must occur in this order, others between them allowed. All is
+done row by row: nothing is exploded, shuffled or joined, as the two tables are constants of bounded size.
 """
 
 from __future__ import annotations
@@ -47,25 +48,57 @@ RULES = (
     ("CC-BY-4.0", ("cc.by",)),
     ("CC-BY-SA-4.0", ("cc.by-sa",)),
 )
-#: A sentence ends at a line break, or at . ! ? ; : before white space or the end; so the dot of "2.0" ends none.
+# Other wordings of known sentences; * stands for a name of 1 to 12 words.
+VARIANTS = (
+    ("apache.licensed", "licensed under the apache license version 2.0 the license"),
+    ("gpl.redistribute", "* is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version"),
+    ("gpl.hope", "* is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose"),
+    ("bsd.names", "neither the name of * nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission"),
+)
+#: A piece ends at a line break, or at . ! ? ; : before white space or the end; so the dot of "2.0" ends none.
 BREAK = r"[.!?;:]+(?=\s|$)|\n"
+#: What may open a line of a notice and is no word of it: a comment word or the number of a list, after marks.
+OPENING = r"(?m)^([^\p{L}\p{N}\n]*)(?:(?:dnl|rem)[ \t]|\(?(?:[0-9]{1,2}|[a-z])\)[ \t])"
 LOWER, UPPER = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
-def normalised(sentence: Column) -> Column:
-    return F.trim(F.regexp_replace(F.lower(sentence), r"[^a-z0-9.]+|\.(?![0-9])", " "))
+def pieces(text: Column) -> Column:
+    """The words of a text in lower case, a space between two, with | between its pieces and at both ends."""
+    broken = F.regexp_replace(F.regexp_replace(F.lower(text), OPENING, "$1\x01"), BREAK, "\x01")
+    words = F.regexp_replace(F.regexp_replace(broken, r"[^a-z0-9.\x01]+|\.(?![0-9])", " "), " {2,}", " ")
+    return F.concat(F.lit("| "), F.regexp_replace(F.trim(words), r" ?\x01[ \x01]*", " | "), F.lit(" |"))
+
+
+def _phrase(sentence: str) -> str:
+    """A sentence as a regular expression over pieces()."""
+    gap = r" (?:\| )?"
+    return gap.join(rf"[a-z0-9.]+(?:{gap}[a-z0-9.]+){{0,11}}?" if w == "*" else w.replace(".", r"\.") for w in sentence.split())
+
 
+def _telling(sentences: list[str]) -> list[str]:
+    """Long words of which each sentence has one or more."""
+    left, out = [{w for w in s.split() if w != "*" and len(w) >= min(7, max(len(x) for x in s.split() if x != "*"))} for s in sentences], []
+    while left:
+        out.append(max(sorted(set().union(*left)), key=lambda w: (sum(w in s for s in left), len(w))))
+        left = [s for s in left if out[-1] not in s]
+    return out
 
-def sentence_ids(text: Column, sentences: dict[str, str]) -> Column:
+
+def sentence_ids(text: Column, sentences: dict[str, str], variants=()) -> Column:
     """The known sentences of a text as indexes into `sentences`, in order; array<int>.
 
-    A text is only taken apart if it has a word that all known sentences of one kind share: the test is a plain LIKE on
-    stems that some word of each known sentence begins with.
+    They may share pieces; of those that start at the same place the longest counts. Only a text with one of the
+    words that _telling() takes from the sentences is looked into.
     """
-    known = F.array(*(F.lit(s) for s in sentences.values()))
-    parts = F.split(text, BREAK)
-    likely = F.filter(parts, lambda s: F.lower(s).rlike("licen|redistribut|warrant|permission|endorse"))
-    return F.filter(F.transform(likely, lambda s: F.array_position(known, normalised(s)).cast("int")), lambda i: i > 0)
+    at = {name: i for i, name in enumerate(sentences, 1)}
+    known = [(s, at[n]) for n, s in (*sentences.items(), *variants) if s and n in at]
+    if not known:
+        return F.when(text.isNotNull(), F.array().cast("array<int>"))
+    known = sorted(((_phrase(s), i) for s, i in known), key=lambda x: -len(x[0].split()))
+    likely = F.lower(text).rlike("|".join(w.replace(".", r"\.") for w in _telling([s for s in (*sentences.values(), *(s for n, s in variants if n in at)) if s])))
+    found = F.regexp_extract_all(pieces(text), F.lit(rf"(?<=\| )(?=({'|'.join(p for p, _ in known)}) +\|)"), F.lit(1))
+    which = lambda said: F.coalesce(*(F.when(said.rlike(f"^(?:{p})$"), F.lit(i)) for p, i in known))
+    return F.when(likely, F.transform(found, which)).otherwise(F.array().cast("array<int>"))
 
 
 def matched_licenses(ids: Column, sentences: dict[str, str], rules) -> Column:
@@ -77,10 +110,13 @@ def matched_licenses(ids: Column, sentences: dict[str, str], rules) -> Column:
     return F.array_distinct(F.array_compact(F.array(*found)))
 
 
-def scan_licenses(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sentences: dict[str, str] | None = None, rules=RULES) -> DataFrame:
-    """(doc_id, sentence_ids, licenses): a row per input row. Null and empty texts have neither; repeated sentences repeat in sentence_ids."""
+def scan_licenses(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sentences: dict[str, str] | None = None, rules=RULES, variants=VARIANTS) -> DataFrame:
+    """(doc_id, sentence_ids, licenses): a row per input row. Null and empty texts have neither; repeated sentences repeat in sentence_ids.
+
+    variants are more wordings, (name in sentences, wording); those of other names are left out.
+    """
     sentences = SENTENCES if sentences is None else sentences
-    ids = F.coalesce(sentence_ids(F.col(text_col), sentences), F.array().cast("array<int>"))
+    ids = F.coalesce(sentence_ids(F.col(text_col), sentences, variants), F.array().cast("array<int>"))
     return docs.select(F.col(id_col).alias("doc_id"), ids.alias("sentence_ids")).select("doc_id", "sentence_ids", matched_licenses(F.col("sentence_ids"), sentences, rules).alias("licenses"))
 
 

@@ -107,6 +107,66 @@ def test_licenses(spark):
     assert [r["licenses"] for r in rows] == [["MIT", "Apache-2.0"], [], []]
 
 
+MIT = """Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT."""
+APACHE = """Copyright 2020 Someone
+
+Licensed under the Apache License, Version 2.0 (the "License");
+you may not use this file except in compliance with the License.
+You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0
+"""
+GPL = """{} is free software: you can redistribute it and/or modify
+it under the terms of the GNU General Public License as published by
+the Free Software Foundation, either version 3 of the License, or
+(at your option) any later version.
+
+{} is distributed in the hope that it will be useful,
+but WITHOUT ANY WARRANTY; without even the implied warranty of
+MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE."""
+BSD = """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1{0} Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+
+2{0} Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.
+
+3{0} Neither the name of {1} nor the names of its
+   contributors may be used to endorse or promote products derived from
+   this software without specific prior written permission."""
+
+
+def test_licenses_as_published(spark):
+    gpl, bsd = GPL.format("This program", "This program"), ["BSD-3-Clause", "BSD-2-Clause"]
+    cases = [(MIT, ["MIT"]), (APACHE, ["Apache-2.0"]), (gpl, ["GPL-3.0-or-later"]), (GPL.format("Foo", "Foo"), ["GPL-3.0-or-later"]), (BSD.format(".", "the copyright holder"), bsd), (BSD.format(")", "Some Company Inc."), bsd)]
+    cases += [("".join(f"{mark} {line}\n" for line in text.split("\n")), want) for text, want in cases[:5] for mark in ("#", "//", " *", ";;", "dnl")]
+    cases += [(gpl.replace("\n", " "), ["GPL-3.0-or-later"]), ("Released under the MIT License\nSee the file", ["MIT"]), ("Never released under the MIT License.", []), ("Released under the MIT License of old", []), ("Licensed under CC BY-NC 4.0\r\nand so on", ["CC-BY-NC-4.0"])]
+    cases += [("字" * 100_000 + ". . " * 50_000 + "- \n" * 50_000 + MIT + "!?" * 50_000 + " x" * 100_000, ["MIT"])]
+    rows = license_scan.scan_licenses(spark.createDataFrame([(i, text) for i, (text, _) in enumerate(cases)], "doc_id long, text string")).orderBy("doc_id").collect()
+    assert [r["licenses"] for r in rows] == [want for _, want in cases]
+
+
+def test_own_license_sentences(spark):
+    frame = spark.createDataFrame([(1, "Free\nfor all."), (2, "free for some")], "doc_id long, text string")
+    rows = license_scan.scan_licenses(frame, sentences={"own": "free for all"}, rules=(("Own", ("own",)),)).orderBy("doc_id").collect()
+    assert [(r["sentence_ids"], r["licenses"]) for r in rows] == [([1], ["Own"]), ([], [])]
+
+
 def test_chat_trees(spark):
     nodes = spark.createDataFrame([(1, "a", None, "user", "q\\<|x", 0.0), (1, "b", "a", "assistant", "good", 2.0), (1, "c", "a", "assistant", "bad", None)], "tree int, node string, parent string, role string, text string, score double")
     out = chat_format.format_conversations(nodes, best=None).withColumn("turns", chat_format.parse_conversation(F.col("formatted"))).orderBy("branch").collect()
