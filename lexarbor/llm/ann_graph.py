@@ -2,8 +2,9 @@
 
 The graph starts from exact neighbours inside blocks of rows that random hyperplanes sort together. A round of
 NN-descent joins each node's neighbours and reverse neighbours with their vectors, compares them with each other (they
-are neighbours of neighbours), and offers each the best it has met; nodes keep their best. Equal vectors are one node,
-so copies neither crowd a node's list nor meet in one task. A query starts at its own node and follows, hop by hop, the
+are neighbours of neighbours), and offers each the best it has met; nodes keep their best. Vectors of one direction are
+one node, so copies neither crowd a node's list nor meet in one task. All cosines are doubles of the original numbers and
+equal ones go by the lesser node, so near copies are told apart as finely as doubles can. A query starts at its own node and follows, hop by hop, the
 edges of the best nodes it has seen but not yet expanded.
 """
 
@@ -19,55 +20,73 @@ from pyspark.sql import functions as F
 from .common import partitions, release, staged, table
 
 NEIGHBOURS, BLOCK, STARTS, ROUNDS, OFFERED, STILL = 32, 2048, 6, 4, 12, 0.04
-BEAM, EXPAND, HOPS, RESCORED, TOP = 128, 32, 5, 16, 5
-LISTS = "node long, others array<long>, sims array<float>"
-LISTS_ARROW = pa.schema([("node", pa.int64()), ("others", pa.list_(pa.int64())), ("sims", pa.list_(pa.float32()))])
+BEAM, EXPAND, HOPS, TOP = 128, 32, 5, 5
+LISTS = "node long, others array<long>, sims array<double>"
+LISTS_ARROW = pa.schema([("node", pa.int64()), ("others", pa.list_(pa.int64())), ("sims", pa.list_(pa.float64()))])
 
 
-def _halves(column) -> np.ndarray:
-    """An Arrow column of equally long float16 vectors (binary) as a matrix."""
-    return np.frombuffer(b"".join(column.to_pylist()), np.float16).reshape(len(column), -1).astype(np.float32)
+def _vectors(column) -> np.ndarray:
+    """An Arrow column of packed vectors of one width as a matrix of doubles, each scaled by a power of two to a greatest number of 0.5 to 1."""
+    packed = np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(len(column), -1)
+    v = np.ascontiguousarray(packed[:, 1:]).view(np.float32 if packed[0, 0] == ord("f") else np.float64).astype(float)
+    return np.ldexp(v, -np.frexp(np.abs(v).max(1, keepdims=True))[1])
+
+
+def _cosines(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The cosine of each row of a with the same row of b."""
+    dot = lambda x, y: np.einsum("ij,ij->i", x, y)
+    return dot(a, b) / (np.sqrt(dot(a, a)) * np.sqrt(dot(b, b)))
 
 
 def nodes_of(vectors: DataFrame, id_col: str, vector_col: str) -> tuple[DataFrame, DataFrame]:
-    """(vec_id, node) and (node, exact, unit): usable vectors and their distinct values.
+    """(vec_id, node) and (node, packed): usable vectors and their distinct directions.
 
     Vectors that are null, empty or zero, or hold a null or a non-finite number, and null ids take no part. An id that
     comes with several vectors keeps the least by bytes. Shorter vectors are filled up with zeros. node is the least id
-    of a value; exact has the numbers as doubles, unit the normalised vector as 16-bit floats for the graph.
+    of a direction (normalised numbers equal in 13 decimals); packed has its numbers, as floats if all of the table are
+    floats and else as doubles, after a byte that says which.
     """
     doubles = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("v"))
     fine = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("v", lambda x: x != 0)
     usable = doubles.where(F.col("vec_id").isNotNull() & F.col("v").isNotNull()).where(fine)
-    width = usable.select(F.max(F.size("v")).alias("w")).first()["w"] or 1
+    width, short = usable.select(F.max(F.size("v")), F.bool_and(F.forall("v", lambda x: x.cast("float").cast("double") == x))).first()
+    width, mark, kind = width or 1, *((b"f", np.float32) if short else (b"d", np.float64))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            exact = [np.pad(np.array(x, float), (0, width - len(x))) + 0.0 for x in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x.tobytes() for x in exact], pa.binary())], names=["vec_id", "exact"])
-
-    rows = staged(usable.mapInArrow(run, "vec_id long, exact binary").groupBy("vec_id").agg(F.min("exact").alias("exact")), "ann-rows")
+            rows = [np.pad(np.array(x, float), (0, width - len(x))) + 0.0 for x in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([mark + x.astype(kind).tobytes() for x in rows], pa.binary())], names=["vec_id", "packed"])
 
-    def units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def directions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            v = np.frombuffer(b"".join(batch.column(1).to_pylist()), float).reshape(batch.num_rows, -1)
-            v = v / np.abs(v).max(1, keepdims=True)
-            v = (v / np.linalg.norm(v, axis=1, keepdims=True)).astype(np.float16)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([x.tobytes() for x in v], pa.binary())], names=["node", "exact", "unit"])
-
-    values = rows.groupBy("exact").agg(F.min("vec_id").alias("node")).select("node", "exact").mapInArrow(units, "node long, exact binary, unit binary")
-    values = staged(values, "ann-values")
-    members = staged(rows.join(values.select("exact", "node"), "exact").select("vec_id", "node"), "ann-members")
-    return members, values
-
-
-def _best(sims: np.ndarray, nodes: np.ndarray, k: int, floors: np.ndarray | None = None) -> pa.RecordBatch:
-    """Each row's k best columns as lists, the row's own left out and those not above its floor; sims is changed."""
+            if batch.num_rows:
+                v = _vectors(batch.column(1))
+                v = np.round(v / np.linalg.norm(v, axis=1, keepdims=True), 13) + 0.0
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([x.tobytes() for x in v], pa.binary())], names=["vec_id", "packed", "direction"])
+
+    rows = usable.mapInArrow(run, "vec_id long, packed binary").groupBy("vec_id").agg(F.min("packed").alias("packed"))
+    rows = staged(rows.mapInArrow(directions, "vec_id long, packed binary, direction binary"), "ann-rows")
+    values = staged(rows.groupBy("direction").agg(F.min(F.struct("vec_id", "packed")).alias("x")).select(F.col("x.vec_id").alias("node"), F.col("x.packed").alias("packed"), "direction"), "ann-values")
+    members = staged(rows.select("vec_id", "direction").join(values.select("direction", "node"), "direction").select("vec_id", "node"), "ann-members")
+    return members, values.select("node", "packed")
+
+
+def _best(v: np.ndarray, nodes: np.ndarray, k: int, floors: np.ndarray | None = None) -> pa.RecordBatch:
+    """The k nodes of largest cosine with each node as lists, itself left out and those under its floor; equal ones go by the lesser node."""
+    order = np.argsort(nodes)
+    v, nodes, floors = v[order], nodes[order], None if floors is None else floors[order]
+    norms = np.sqrt(np.einsum("ij,ij->i", v, v))
+    sims = v @ v.T
+    sims /= np.outer(norms, norms)
     np.fill_diagonal(sims, -2)
     k = min(k, len(nodes) - 1)
     at = np.argpartition(-sims, k - 1, axis=1)[:, :k] if k > 0 else np.empty((len(nodes), 0), np.int64)
-    values = np.round(np.take_along_axis(sims, at, 1), 5).astype(np.float32)
-    good = values > (-2 if floors is None else floors[:, None])
+    if k > 0:
+        least = np.take_along_axis(sims, at, 1).min(1)
+        tied = np.flatnonzero(np.count_nonzero(sims >= least[:, None], axis=1) > k)
+        at[tied] = np.argsort(-sims[tied], axis=1, kind="stable")[:, :k]
+    values = np.take_along_axis(sims, at, 1)
+    good = values >= (-2 if floors is None else floors[:, None])
     offsets = pa.array(np.concatenate([[0], np.cumsum(good.sum(1))]).astype(np.int32))
     return pa.RecordBatch.from_arrays([pa.array(nodes), pa.ListArray.from_arrays(offsets, pa.array(nodes[at][good])), pa.ListArray.from_arrays(offsets, pa.array(values[good]))], schema=LISTS_ARROW)
 
@@ -84,7 +103,7 @@ def _merged(offers: DataFrame, k: int) -> DataFrame:
                 best = np.lexsort((nodes, -values))[:k]
                 others.append(nodes[best])
                 sims.append(values[best])
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(others, pa.list_(pa.int64())), pa.array(sims, pa.list_(pa.float32()))], schema=LISTS_ARROW)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(others, pa.list_(pa.int64())), pa.array(sims, pa.list_(pa.float64()))], schema=LISTS_ARROW)
 
     lists = offers.groupBy("node").agg(F.collect_list("others").alias("others"), F.collect_list("sims").alias("sims"))
     return lists.mapInArrow(run, LISTS)
@@ -98,30 +117,31 @@ def first_graph(values: DataFrame, neighbours: int, starts: int, block: int) ->
 
         def sides(batches: Iterator[pa.RecordBatch], seed: int = start) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                v = _halves(batch.column(1))
-                on = v @ np.random.default_rng(seed).standard_normal((v.shape[1], 16)).astype(np.float32)
+                if not batch.num_rows:
+                    continue
+                v = _vectors(batch.column(1))
+                on = v / np.linalg.norm(v, axis=1, keepdims=True) @ np.random.default_rng(seed).standard_normal((v.shape[1], 16))
                 code = ((on > 0) << np.arange(15, -1, -1)).sum(1)
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(code), pa.array(on[:, 0].astype(float))], names=["node", "unit", "code", "along"])
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(code), pa.array(on[:, 0])], names=["node", "packed", "code", "along"])
 
         def inside(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             nodes, rows = [], []
 
             def close() -> pa.RecordBatch:
-                v = np.frombuffer(b"".join(rows), np.float16).reshape(len(rows), -1).astype(np.float32)
-                return _best(v @ v.T, np.array(nodes), neighbours)
+                return _best(_vectors(pa.array(rows, pa.binary())), np.array(nodes), neighbours)
 
             for batch in batches:
-                for node, unit in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                for node, packed in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                     nodes.append(node)
-                    rows.append(unit)
+                    rows.append(packed)
                     if len(rows) == block:
                         yield close()
                         nodes, rows = [], []
             if rows:
                 yield close()
 
-        coded = values.select("node", "unit").mapInArrow(sides, "node long, unit binary, code long, along double")
-        dealt = coded.repartitionByRange(n, "code", "along", "node").sortWithinPartitions("code", "along", "node").select("node", "unit")
+        coded = values.select("node", "packed").mapInArrow(sides, "node long, packed binary, code long, along double")
+        dealt = coded.repartitionByRange(n, "code", "along", "node").sortWithinPartitions("code", "along", "node").select("node", "packed")
         own = dealt.mapInArrow(inside, LISTS)
         offers = own if offers is None else offers.unionByName(own)
     return staged(_merged(offers, neighbours), "ann-graph")
@@ -137,15 +157,14 @@ def both_ways(graph: DataFrame, neighbours: int) -> DataFrame:
 
 def descend(graph: DataFrame, values: DataFrame, neighbours: int, offered: int) -> DataFrame:
     """One round of NN-descent: (node, others, sims) with what neighbours of neighbours had to offer."""
-    floor = F.when(F.size("sims") >= neighbours, F.array_min("sims")).otherwise(F.lit(-2.0).cast("float"))
-    own = values.join(graph.select("node", floor.alias("floor")), "node").select(F.col("node").alias("other"), "unit", "floor")
-    met = both_ways(graph, neighbours).join(own, "other").groupBy("node").agg(F.collect_list("other").alias("others"), F.collect_list("unit").alias("units"), F.collect_list("floor").alias("floors"))
+    floor = F.when(F.size("sims") >= neighbours, F.array_min("sims")).otherwise(F.lit(-2.0))
+    own = values.join(graph.select("node", floor.alias("floor")), "node").select(F.col("node").alias("other"), "packed", "floor")
+    met = both_ways(graph, neighbours).join(own, "other").groupBy("node").agg(F.collect_list("other").alias("others"), F.collect_list("packed").alias("packed"), F.collect_list("floor").alias("floors"))
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for others, units, floors in zip(*batch.columns[1:], strict=True):
-                v = _halves(units.values)
-                yield _best(v @ v.T, others.values.to_numpy(), offered, floors.values.to_numpy())
+            for others, packed, floors in zip(*batch.columns[1:], strict=True):
+                yield _best(_vectors(packed.values), others.values.to_numpy(), offered, floors.values.to_numpy())
 
     offers = met.mapInArrow(compare, LISTS).where(F.size("others") > 0)
     return staged(_merged(offers.unionByName(graph), neighbours), "ann-graph")
@@ -166,40 +185,42 @@ def neighbour_graph(values: DataFrame, *, neighbours: int = NEIGHBOURS, starts:
 
 
 def greedy_search(starts: DataFrame, graph: DataFrame, values: DataFrame, *, neighbours: int = NEIGHBOURS, beam: int = BEAM, expand: int = EXPAND, hops: int = HOPS) -> DataFrame:
-    """(query, seen) of start nodes (query, unit): the beam best (sim, node) that a walk from each query's own node has met.
+    """(query, seen) of start nodes (query, packed): the beam best (minus, node) that a walk from each query's own node has met; minus is the negative cosine.
 
     query is a node of the graph. In a hop the best `expand` nodes of the beam that were not expanded yet are; the walk
-    ends when none is left anywhere or after `hops` hops.
+    ends when none is left anywhere or after `hops` hops. Of equal cosines the lesser node is the better one.
     """
     edges = staged(both_ways(graph, neighbours).groupBy("node").agg(F.collect_list("other").alias("others")), "ann-edges")
-    item = "array<struct<sim:float,node:long,done:boolean>>"
-    state = starts.select("query", "unit", F.array(F.struct(F.lit(1.0).cast("float").alias("sim"), F.col("query").alias("node"), F.lit(False).alias("done"))).cast(item).alias("seen"))
+    item = "array<struct<minus:double,node:long,done:boolean>>"
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                sims = np.einsum("ij,ij->i", _halves(batch.column(2)), _halves(batch.column(3)))
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.round(sims, 5).astype(np.float32))], names=["query", "node", "sim"])
+                minus = 0.0 - _cosines(_vectors(batch.column(2)), _vectors(batch.column(3)))
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(minus)], names=["query", "node", "minus"])
 
-    state = staged(state, "ann-state")
+    scores = "query long, node long, minus double"
+    own = starts.select("query", F.col("query").alias("node"), "packed", F.col("packed").alias("their")).mapInArrow(score, scores)
+    first = own.select("query", F.array(F.struct("minus", "node", F.lit(False).alias("done"))).cast(item).alias("seen"))
+    state = staged(starts.join(first, "query").select("query", "packed", "seen"), "ann-state")
     for _ in range(hops):
-        open_ = state.select("query", "unit", "seen", F.slice(F.filter("seen", lambda x: ~x["done"]), 1, expand).alias("next"))
+        open_ = state.select("query", "packed", "seen", F.slice(F.filter("seen", lambda x: ~x["done"]), 1, expand).alias("next"))
         if open_.where(F.size("next") > 0).isEmpty():
             break
         steps = open_.select("query", F.explode("next.node").alias("node")).join(edges, "node").select("query", F.explode("others").alias("node")).distinct()
         known = state.select("query", F.explode("seen.node").alias("node"))
         fresh = steps.join(known, ["query", "node"], "left_anti")
-        compared = fresh.join(values.select("node", F.col("unit").alias("their")), "node").join(state.select("query", "unit"), "query").select("query", "node", "unit", "their")
-        met = compared.mapInArrow(score, "query long, node long, sim float").groupBy("query").agg(F.collect_list(F.struct("sim", "node", F.lit(False).alias("done"))).alias("met"))
-        gone = F.transform("seen", lambda x: F.struct(x["sim"].alias("sim"), x["node"].alias("node"), (x["done"] | F.array_contains("next.node", x["node"])).alias("done")))
-        together = open_.select("query", "unit", "next", gone.alias("seen")).join(met, "query", "left")
-        best = F.slice(F.sort_array(F.concat("seen", F.coalesce("met", F.array().cast(item))), asc=False), 1, beam)
-        state = staged(together.select("query", "unit", best.alias("seen")), "ann-state")
+        compared = fresh.join(values.select("node", F.col("packed").alias("their")), "node").join(state.select("query", "packed"), "query").select("query", "node", "packed", "their")
+        met = compared.mapInArrow(score, scores).groupBy("query").agg(F.collect_list(F.struct("minus", "node", F.lit(False).alias("done"))).alias("met"))
+        gone = F.transform("seen", lambda x: F.struct(x["minus"].alias("minus"), x["node"].alias("node"), (x["done"] | F.array_contains("next.node", x["node"])).alias("done")))
+        together = open_.select("query", "packed", "next", gone.alias("seen")).join(met, "query", "left")
+        best = F.slice(F.sort_array(F.concat("seen", F.coalesce("met", F.array().cast(item)))), 1, beam)
+        state = staged(together.select("query", "packed", best.alias("seen")), "ann-state")
         release(values.sparkSession)
     return state.select("query", "seen")
 
 
-def nearest(vectors: DataFrame, is_query, *, id_col: str = "vec_id", vector_col: str = "embedding", top: int = TOP, rescored: int = RESCORED, **graph_options) -> DataFrame:
+def nearest(vectors: DataFrame, is_query, *, id_col: str = "vec_id", vector_col: str = "embedding", top: int = TOP, beam: int = BEAM, **graph_options) -> DataFrame:
     """(query_id, rank, vec_id, score): the `top` rows of largest cosine for each row for which is_query(id column) holds.
 
     Scores are double-precision cosines of the original vectors; equal scores go by the lesser id. A query with fewer
@@ -208,17 +229,9 @@ def nearest(vectors: DataFrame, is_query, *, id_col: str = "vec_id", vector_col:
     members, values = nodes_of(vectors, id_col, vector_col)
     graph = neighbour_graph(values, **graph_options)
     queries = members.where(is_query(F.col("vec_id"))).select(F.col("vec_id").alias("query_id"), F.col("node").alias("query"))
-    asked = queries.select("query").distinct().join(values.select(F.col("node").alias("query"), "unit"), "query")
-    found = greedy_search(asked, graph, values).select("query", F.explode(F.slice("seen", 1, rescored)).alias("x")).select("query", F.col("x.node").alias("node"))
-    pairs = found.join(values.select("node", "exact"), "node").join(values.select(F.col("node").alias("query"), F.col("exact").alias("asked")), "query").select("query", "node", "asked", "exact")
-
-    def cosine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            a, b = (np.frombuffer(b"".join(batch.column(i).to_pylist()), float).reshape(batch.num_rows, -1) for i in (2, 3))
-            scores = [float(np.dot(x, y) / (np.linalg.norm(x) * np.linalg.norm(y))) for x, y in zip(a, b, strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(scores, pa.float64())], names=["query", "node", "score"])
-
-    scored = pairs.mapInArrow(cosine, "query long, node long, score double")
+    asked = queries.select("query").distinct().join(values.select(F.col("node").alias("query"), "packed"), "query")
+    found = greedy_search(asked, graph, values, beam=max(beam, top + 1))
+    scored = found.select("query", F.explode("seen").alias("x")).select("query", F.col("x.node").alias("node"), (F.lit(0.0) - F.col("x.minus")).alias("score"))
     least = F.row_number().over(Window.partitionBy("node").orderBy("vec_id"))
     firsts = members.withColumn("n", least).where(F.col("n") <= top + 1).select("node", "vec_id")
     near = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "vec_id"))

@@ -185,3 +185,21 @@ def test_nearest_small(spark):
     for q in got:
         want = sorted((i for i in good if i != q), key=lambda i: (-round(float(good[q] @ good[i]), 12), i))[:5]
         assert got[q] == want
+
+
+def test_nearest_in_a_group_of_near_copies(spark):
+    rng = np.random.default_rng(3)
+    near = rng.standard_normal(32) + 0.001 * rng.standard_normal((600, 32))
+    ties = np.sign(rng.standard_normal((100, 32))) @ np.diag([1.0] * 8 + [0.0] * 24)
+    vectors = np.concatenate([near, 3 * near[:50], rng.standard_normal((1000, 32)), ties])[rng.permutation(1750)]
+    frame = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vectors)], "vec_id long, embedding array<double>")
+    got = {}
+    for r in ann_graph.nearest(frame, lambda i: i % 20 == 0).collect():
+        got.setdefault(r["query_id"], set()).add(r["vec_id"])
+    unit = vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
+    hits = 0
+    for q in range(0, 1750, 20):
+        sims = np.round(unit @ unit[q], 13)
+        sims[q] = -2
+        hits += len(got[q] & set(np.lexsort((np.arange(1750), -sims))[:5].tolist()))
+    assert hits >= 0.98 * 5 * len(range(0, 1750, 20))
