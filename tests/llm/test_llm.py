@@ -101,6 +101,23 @@ def test_quality():
     assert quality_rules.base_counts("") == (0, 0, 0, 0, 0)
 
 
+def test_noise_is_out_of_band():
+    import zstandard
+
+    pack, rng = zstandard.ZstdCompressor(level=3).compress, np.random.default_rng(2)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    words = ["".join(rng.choice(list("etaoinshrdlu"), rng.integers(2, 8))) for _ in range(400)]
+    prose = lambda n: " ".join(rng.choice(words, n // 4, p=(w := 1 / np.arange(1, 401)) / w.sum()))[:n].encode()
+    noise = lambda n, of: " ".join("".join(rng.choice(list(of), 6)) for _ in range(n // 6))[:n].encode()
+    base64, verdict = letters + letters.upper() + "0123456789+/", lambda data: quality_rules.compression_verdict(data, pack)[0]
+    assert all(verdict(prose(n)) for n in (300, 700, 1500, 5000, 20_000, 100_000))
+    assert not any(verdict(noise(n, base64)) for n in (300, 500, 700, 1500, 5000, 20_000, 200_000))
+    assert not any(verdict(noise(n, letters)) for n in (20_000, 200_000)) and not verdict(noise(200_000, "0123456789abcdef"))
+    assert not verdict(prose(12_000) + noise(12_000, letters + "0123456789"))
+    assert not verdict(prose(24_000) + b"buy this now " * 1280)
+    assert not verdict(prose(4096) + noise(1500, base64))
+
+
 def test_licenses(spark):
     text = "Hello. Released under the MIT License.\nLicensed under the Apache License, Version 2.0."
     rows = license_scan.scan_licenses(spark.createDataFrame([(1, text), (2, None), (3, "")], "doc_id long, text string")).orderBy("doc_id").collect()
