@@ -192,6 +192,15 @@ def sz_kh_rule(spark, d):
     return rows.select("doc_id", "p", F.get(C.collocation_key(words), F.lit(0))["lemma"].alias("settled"))
 
 
+def sz_kh_words(spark, d):
+    """The settled first lemma of s, z, k and h before every word of the whole texts, with the number of such words."""
+    words = docs(spark, d).tokens.where("NOT is_root").groupBy("lemma").agg(F.count("*").alias("frequency"))
+    rows = words.select("lemma", "frequency", F.explode(F.array(*map(F.lit, "szkh"))).alias("p"))
+    token = lambda c: F.struct(F.col(c).alias("lemma"))
+    key = C.collocation_key(F.map_from_entries(F.array(F.struct(F.lit("1").alias("key"), token("p").alias("value")), F.struct(F.lit("2").alias("key"), token("lemma").alias("value")))))
+    return rows.select("lemma", "p", F.get(key, F.lit(0))["lemma"].alias("settled"), "frequency")
+
+
 REPORT_XML = pattern(TOP, "1 2 amod")
 
 
@@ -213,7 +222,7 @@ QUERIES = {
     "colloc_ids": colloc_ids, "colloc_minfreq": colloc_minfreq, "uniq_words": uniq_words, "lowercase_forms": lowercase_forms, "word_counts": word_counts, "corpus_size": corpus_size,
     "dispersion": dispersion, "distinct_forms": distinct_forms, "modal_order": modal_order, "association": association,
     "rep_any": rep_any, "rep_all_forms": rep_all_forms, "rep_lexis": _rep('<feature rendition="lexis" string="zz"/>'), "rep_lemma": _rep('<feature rendition="lemma"/>'), "rep_word_form": _rep('<feature rendition="word_form"/>'), "rep_lowercase": _rep('<feature rendition="word_form"/><feature selection="all"/><feature format="lowercase"/>'),
-    "lexicon_build": lexicon_build, "lexicon_lookup": lexicon_lookup, "msd_decode": msd_decode, "sz_kh_rule": sz_kh_rule, "colloc_report": colloc_report, "sentence_map": sentence_map,
+    "lexicon_build": lexicon_build, "lexicon_lookup": lexicon_lookup, "msd_decode": msd_decode, "sz_kh_rule": sz_kh_rule, "sz_kh_words": sz_kh_words, "colloc_report": colloc_report, "sentence_map": sentence_map,
 }
 
 TOK = r"""
@@ -284,5 +293,6 @@ SQL = {
     "lexicon_lookup": f"{_FORMS}, k AS (SELECT *, row_number() OVER (PARTITION BY lemma ORDER BY frequency DESC, msd, form) AS n FROM lex WHERE msd[3] = 'f') SELECT b.lemma, k.form, k.msd AS form_msd FROM (SELECT DISTINCT lemma FROM forms) b LEFT JOIN k ON k.lemma = b.lemma AND k.n = 1",
     "msd_decode": f"{_FORMS} SELECT DISTINCT msd, 'noun' AS pos, CASE msd[3] WHEN 'm' THEN 'masculine' WHEN 'f' THEN 'feminine' ELSE 'neuter' END AS gender, CASE msd[4] WHEN 's' THEN 'singular' WHEN 'd' THEN 'dual' ELSE 'plural' END AS number, 'nominative' AS gcase FROM forms",
     "sz_kh_rule": "SELECT doc_id, p, CASE WHEN p IN ('s', 'z') THEN CASE WHEN t[1] IN ('c', 'č', 'f', 'h', 'k', 'p', 's', 'š', 't') THEN 's' ELSE 'z' END ELSE CASE WHEN t[1] IN ('g', 'k') THEN 'h' ELSE 'k' END END AS settled FROM (SELECT doc_id, unnest(['s', 'z', 'k', 'h']) AS p, lower(substr(text, 1, 3)) AS t FROM documents) WHERE t <> ''",
+    "sz_kh_words": f"{TOK} SELECT lemma, p, CASE WHEN p IN ('s', 'z') THEN CASE WHEN lemma[1] IN ('c', 'č', 'f', 'h', 'k', 'p', 's', 'š', 't') THEN 's' ELSE 'z' END ELSE CASE WHEN lemma[1] IN ('g', 'k') THEN 'h' ELSE 'k' END END AS settled, count(*) AS frequency FROM t, (SELECT unnest(['s', 'z', 'k', 'h']) AS p) GROUP BY ALL",
     "sentence_map": f"{ORD}{LABELLED}, m AS (SELECT a.lemma AS l1, b.lemma AS l2, a.file_ix, a.tok AS ta, b.tok AS tb FROM t a{_E}), c AS (SELECT l1, l2, row_number() OVER (ORDER BY min((file_ix, ta, tb))) AS id FROM m GROUP BY l1, l2) SELECT c.id AS \"Collocation_id\", CAST(file_ix AS VARCHAR) AS \"Sentence_id\", file_ix || '.' || ta || '|' || file_ix || '.' || tb AS \"Token_ids\" FROM m JOIN c USING (l1, l2)",
 }

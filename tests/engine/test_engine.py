@@ -8,7 +8,7 @@ from lexarbor.operators.matcher import match_structure
 from lexarbor.operators.wordfeats import common_features, common_tag
 from lexarbor.plans.report import Analysis, Config
 from lexarbor.plans.structures import parse_catalogue
-from lexarbor.queries import TOP, morph, pattern
+from lexarbor.queries import TOP, morph, pattern, sz_kh_words
 from lexarbor.sources.corpus import read_conllu, read_tei
 from lexarbor.sources.lexicon import build_lexicon, find_forms
 from lexarbor.sources.sinks import write_map, write_report
@@ -99,6 +99,13 @@ def test_small_functions(spark):
     assert keys["k"][0]["lemma"] == "z"
 
 
+def test_sz_kh_of_whole_texts(spark, tmp_path):
+    spark.createDataFrame([(1, "Gora hiša.\nmesto"), (2, "a b Kava gora"), (3, None)], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {(r["lemma"], r["p"]): (r["settled"], r["frequency"]) for r in sz_kh_words(spark, str(tmp_path)).collect()}
+    words = {"gora": ("z", "h", 2), "hiša": ("s", "k", 1), "mesto": ("z", "k", 1), "a": ("z", "k", 1), "b": ("z", "k", 1), "kava": ("s", "h", 1)}
+    assert got == {(w, p): (sz if p in "sz" else kh, n) for w, (sz, kh, n) in words.items() for p in "szkh"}
+
+
 def test_lexicon(spark):
     forms = spark.createDataFrame([("a", "Ncfsn", "a", 3), ("a", "Ncfsn", "b", 5), ("a", "Ncmsn", "c", 1)], "lemma string, msd string, form string, frequency long")
     lexicon = build_lexicon(forms)
