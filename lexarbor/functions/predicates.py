@@ -8,17 +8,19 @@ from operator import and_, or_
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from ..functions.tags import named_feature, tag_feature
 from ..plans.structures import Component, Restriction
 
 
 def morphology(token: Column, features, ud: bool) -> Column:
     """Each feature is present with one of its values, or, negated, not present with one. The root never passes.
 
-    In the positional system keys are in lower case and the negation of POS is not heeded.
+    In the positional system keys are in lower case and the negation of POS is not heeded. Features are looked for in
+    the tag itself, so no token has to carry a map of them.
     """
     out = ~token["is_root"] & (token["msd"] != "")
     for key, values, negated in features:
-        found = F.coalesce(F.try_element_at(token["feats"], F.lit(key if ud else key.lower())).isin(*values), F.lit(False))
+        found = named_feature(token["msd"], key, values) if ud else tag_feature(token["msd"], key.lower(), values)
         out &= ~found if negated and (ud or key.lower() != "pos") else found
     return out
 

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -22,6 +25,7 @@ TAGS = {
     "I": ("interjection", ()),
     "Y": ("abbreviation", ()),
     "X": ("residual", (("type", {"f": "foreign", "t": "typo", "p": "program", "w": "web", "e": "emo", "h": "hashtag", "a": "at"}),)),
+    "Z": ("punctuation", ()),
 }
 # Dependency labels of the positional system, in English and as stored.
 LABELS = {"Root": "modra", "Atr": "dol", "PPart": "del", "Coord": "prir", "Conj": "vez", "MWU": "skup", "Sb": "ena", "Obj": "dve", "AdvM": "tri", "AdvO": "štiri"}
@@ -43,6 +47,25 @@ def decode_msd(msd: Column) -> Column:
     return out
 
 
+def named_feature(msd: Column, key: str, values) -> Column:
+    """Whether a tag of named features (k=v|k=v) has the feature with one of the values."""
+    held = F.concat(F.lit("|"), msd, F.lit("|"))
+    return reduce(or_, (held.contains(f"|{key}={v}|") for v in values))
+
+
+def tag_feature(msd: Column, key: str, values) -> Column:
+    """Whether a positional tag has the feature (pos: its category) with one of the values."""
+    tests = [F.lit(False)]
+    for letter, (name, positions) in TAGS.items():
+        of = F.substring(msd, 1, 1) == letter
+        if key == "pos" and name in values:
+            tests.append(of)
+        for i, (feature, chars) in enumerate(positions, 2):
+            if feature == key and (good := [c for c, v in chars.items() if v in values]):
+                tests.append(of & F.substring(msd, i, 1).isin(*good))
+    return reduce(or_, tests)
+
+
 def translate_label(label: Column) -> Column:
     """An English label as it is stored; a label that is none of them raises an error."""
     out = F.raise_error(F.concat(F.lit("unknown label: "), label)).cast("string")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -11,29 +12,41 @@ from .functions.predicates import accepts
 from .functions.tags import decode_msd
 from .operators import collocations as C
 from .operators import represent as R
-from .operators.matcher import fixed_order, match_structure
+from .operators.matcher import fixed_order, match_catalogue, match_structure
 from .plans.report import Analysis
 from .plans.structures import parse_catalogue
-from .sources.corpus import FIELDS, Corpus, documents_corpus, orders_corpus
+from .sources.corpus import FIELDS, Corpus, documents_corpus, orders_corpus, read_conllu, read_tei
 from .sources.lexicon import build_lexicon, find_forms
+from .sources.sinks import write_conllu, write_tei
+from .sources.staging import shared_dir
 
 
 def docs(spark, d: str) -> Corpus:
-    rows = spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "text")
-    return documents_corpus(rows.repartition(max(rows.rdd.getNumPartitions(), int(spark.conf.get("spark.sql.shuffle.partitions")))))
+    """The documents table as a treebank. A scan of fewer splits than cores (a small table) is dealt out; a large one stays where it is."""
+    rows, cores = spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "text"), spark.sparkContext.defaultParallelism
+    return documents_corpus(rows if rows.rdd.getNumPartitions() >= cores else rows.repartition(cores))
 
 
 def orders(spark, d: str) -> Corpus:
     return orders_corpus(spark.read.parquet(f"{d}/lineitem.parquet"), spark.read.parquet(f"{d}/part.parquet"))
 
 
-def pattern(*deps: str, restrict: dict[str, str] | None = None, status: dict[str, str] | None = None, show: dict[str, str] | None = None, other: tuple[str, ...] = ()) -> str:
-    """A catalogue of one structure; a dependency is `from to label [order]`."""
+def catalogue(*structures: str, system: str = "UD") -> str:
+    return f'<syntactic_structures system_type="{system}">{"".join(structures)}</syntactic_structures>'
+
+
+def pattern(*deps: str, system: str = "UD", **options) -> str:
+    """A catalogue of one structure."""
+    return catalogue(structure(*deps, **options), system=system)
+
+
+def structure(*deps: str, name: str = "p", restrict: dict[str, str] | None = None, status: dict[str, str] | None = None, show: dict[str, str] | None = None, other: tuple[str, ...] = ()) -> str:
+    """A structure; a dependency is `from to label [order]`."""
     cids = sorted({d.split()[1] for d in deps})
     comps = "".join(f'<component cid="{c}" type="{"other" if c in other else "core"}"{f""" status="{status[c]}" """ if status and c in status else ""}/>' for c in cids)
     links = "".join('<dependency from="{}" to="{}" label="{}"{}/>'.format(*p[:3], f' order="{p[3]}"' if len(p) > 3 else "") for p in map(str.split, deps))
     body = "".join(f'<component cid="{c}">{(restrict or {}).get(c, "")}<representation>{(show or {}).get(c, """<feature rendition="lemma"/>""")}</representation></component>' for c in cids)
-    return f'<syntactic_structures system_type="UD"><syntactic_structure type="collocation" id="p"><components>{comps}</components><dependencies>{links}</dependencies><definition>{body}</definition></syntactic_structure></syntactic_structures>'
+    return f'<syntactic_structure type="collocation" id="{name}"><components>{comps}</components><dependencies>{links}</dependencies><definition>{body}</definition></syntactic_structure>'
 
 
 def morph(**features: str) -> str:
@@ -57,7 +70,7 @@ OPTIONAL, FORBIDDEN = pattern(TOP, "1 2 amod", "1 3 case", status={"3": "optiona
 NOUN_ADJ = pattern(TOP, "1 2 amod", restrict={"1": morph(POS="NOUN|VERB", Case="Nom"), "2": morph(Number="Sing", POS="ADJ")})
 LEXIS = pattern(TOP, "1 2 amod", restrict={"1": '<restriction type="lexis"><feature lemma="the|of|la|le"/></restriction>'})
 EITHER = pattern(TOP, "1 2 amod", restrict={"1": '<restriction_or><restriction type="lexis"><feature lemma="the|la"/></restriction>' + morph(POS="ADV") + "</restriction_or>"})
-SPACED = pattern(TOP, "1 2 amod", restrict={"1": '<restriction type="space"><feature contact="neither|both"/></restriction>'})
+SPACED = pattern(TOP, "1 2 amod", restrict={"1": '<restriction type="space"><feature contact="neither|both"/></restriction>', "2": '<restriction type="space"><feature contact="left|neither"/></restriction>'})
 NEGATED = pattern(TOP, "1 2 amod", restrict={"1": '<restriction type="morphology"><feature POS="NOUN"/><feature Case="Gen" filter="negative"/></restriction>'})
 BACKWARD = pattern(TOP, "1 2 amod to-from")
 
@@ -147,13 +160,15 @@ def rep_any(spark, d):
 
 
 def rep_all_forms(spark, d):
-    words = C.uniq_words(docs(spark, d)).groupBy("lemma").agg(F.array_join(F.array_sort(F.collect_set(F.lower("text"))), "/").alias("forms"))
-    return words
+    """The lower-case forms of every lemma, each lemma as a collocation of one component."""
+    words = docs(spark, d).tokens.where("NOT is_root")
+    rows = words.select(F.col("lemma").alias("collocation_id"), F.lit("1").alias("cid"), F.lit(0).alias("rep"), F.struct("file_ix", "sent_ix", "tok").alias("found"), F.struct("form", "msd").alias("w"))
+    return R.all_forms(rows).select(F.col("collocation_id").alias("lemma"), F.col("text").alias("forms"), F.size(F.split("msd", "/")).alias("n"))
 
 
-def _rep(feature: str):
+def _rep(feature: str, head: str = '<feature rendition="lemma"/>'):
     """The representative form of component 2 of the edge pattern, by collocation, through the representation operator."""
-    xml = pattern(TOP, "1 2 amod", show={"2": feature})
+    xml = pattern(TOP, "1 2 amod", show={"1": head, "2": feature})
 
     def run(spark, d):
         a = Analysis(orders(spark, d), parse_catalogue(xml))
@@ -201,18 +216,54 @@ def sz_kh_words(spark, d):
     return rows.select("lemma", "p", F.get(key, F.lit(0))["lemma"].alias("settled"), "frequency")
 
 
-REPORT_XML = pattern(TOP, "1 2 amod")
+def read_conllu_tokens(spark, d):
+    """The documents treebank written as CoNLL-U files and read again."""
+    path = f"{shared_dir(spark)}/conllu-{uuid.uuid4().hex}"
+    write_conllu(docs(spark, d), path)
+    return read_conllu(spark, path).tokens.where("NOT is_root").select("sentence_id", "tok", "form", "lemma", "pos", "msd", "glue")
 
 
-def colloc_report(spark, d):
-    return Analysis(orders(spark, d), parse_catalogue(REPORT_XML)).report
+def read_tei_links(spark, d):
+    """The orders treebank written as TEI documents, one per bucket of orders, and read again."""
+    path = f"{shared_dir(spark)}/tei-{uuid.uuid4().hex}"
+    write_tei(orders(spark, d), path, buckets=16)
+    edges = read_tei(spark, path).edges
+    return edges.select("sentence_id", "label", F.col("head.tok").alias("head"), F.col("dep.tok").alias("tok"), F.col("dep.form").alias("form"), F.col("dep.lemma").alias("lemma"), F.col("dep.msd").alias("msd"))
 
 
-def sentence_map(spark, d):
-    return Analysis(orders(spark, d), parse_catalogue(REPORT_XML)).sentence_map
+def jos_orders(spark, d) -> Corpus:
+    """The orders treebank with positional tags and English labels of the positional system, through CoNLL-U files."""
+    tag = lambda t: F.concat(F.element_at(F.create_map(*map(F.lit, ("NOUN", "Nc", "ADJ", "Agp", "VERB", "Vm", "ADV", "Rg", "ADP", "S"))), t["pos"]), F.when(t["pos"].isin("NOUN", "ADJ"), F.concat(F.element_at(F.array(*map(F.lit, "mfn")), (F.length(t["lemma"]) % 3 + 1).cast("int")), F.when(t["tok"] % 2 == 0, "s").otherwise("p"), F.lower(F.substring(t["msd"], 6, 1)))).otherwise(""))
+    said = F.create_map(*map(F.lit, ("root", "Root", "amod", "Atr", "advmod", "AdvM", "case", "Conj", "conj", "Coord", "obj", "Obj", "obl", "AdvO", "nsubj", "Sb")))
+    tokens = F.transform("tokens", lambda t: t.withField("msd", F.when(t["is_root"], "").otherwise(tag(t))))
+    links = F.transform("links", lambda x: x.withField("label", said[x["label"]]))
+    path = f"{shared_dir(spark)}/jos-{uuid.uuid4().hex}"
+    write_conllu(Corpus(orders(spark, d).sentences.select("file_ix", "sent_ix", "sentence_id", tokens.alias("tokens"), links.alias("links")), ud=False), path)
+    return read_conllu(spark, path, ud=False, jos_labels="en")
+
 
+JOS = pattern(TOP, "1 2 dol", system="JOS", restrict={"1": morph(POS="noun", gender="masculine|feminine"), "2": '<restriction type="morphology"><feature POS="adjective"/><feature case="genitive" filter="negative"/></restriction>'})
 
 
+def jos_match(spark, d):
+    """A pattern of the positional system; its core pair is told by the restrictions."""
+    found = match_catalogue(jos_orders(spark, d), parse_catalogue(JOS))
+    w = lambda c, f: F.col("words")[c][f].alias(f"{f}{c}")
+    return found.groupBy(w("1", "lemma"), w("2", "lemma"), w("1", "msd"), w("2", "msd")).agg(F.count("*").alias("frequency"))
+
+
+REPORT_XML = catalogue(*(structure(TOP, f"1 2 {label}", name=name, show={"2": '<feature rendition="word_form"/>'}) for name, label in (("p", "amod"), ("q", "advmod"))))
+
+
+def colloc_report(spark, d):
+    """The full report of two structures, its doubles to six decimals."""
+    found = Analysis(orders(spark, d), parse_catalogue(REPORT_XML)).report
+    return found.select(*(F.round(F.col(c), 6).alias(c) if kind == "double" else F.col(c) for c, kind in found.dtypes))
+
+
+def sentence_map(spark, d):
+    return Analysis(orders(spark, d), parse_catalogue(EDGE)).sentence_map
+
 
 QUERIES = {
     "tok_scan": tok_scan, "tok_links": tok_links, "filter_tokens": filter_morphology_tokens,
@@ -222,25 +273,28 @@ QUERIES = {
     "colloc_ids": colloc_ids, "colloc_minfreq": colloc_minfreq, "uniq_words": uniq_words, "lowercase_forms": lowercase_forms, "word_counts": word_counts, "corpus_size": corpus_size,
     "dispersion": dispersion, "distinct_forms": distinct_forms, "modal_order": modal_order, "association": association,
     "rep_any": rep_any, "rep_all_forms": rep_all_forms, "rep_lexis": _rep('<feature rendition="lexis" string="zz"/>'), "rep_lemma": _rep('<feature rendition="lemma"/>'), "rep_word_form": _rep('<feature rendition="word_form"/>'), "rep_lowercase": _rep('<feature rendition="word_form"/><feature selection="all"/><feature format="lowercase"/>'),
+    "rep_msd": _rep('<feature rendition="word_form"/><feature selection="msd" Case="Nom"/>'), "rep_agreement": _rep('<feature rendition="word_form"/><feature selection="agreement" msd="case" head_cid="1"/>', head='<feature rendition="word_form"/>'),
+    "read_conllu": read_conllu_tokens, "read_tei": read_tei_links, "jos_match": jos_match,
     "lexicon_build": lexicon_build, "lexicon_lookup": lexicon_lookup, "msd_decode": msd_decode, "sz_kh_rule": sz_kh_rule, "sz_kh_words": sz_kh_words, "colloc_report": colloc_report, "sentence_map": sentence_map,
 }
 
 TOK = r"""
 WITH lines AS (SELECT doc_id AS file_ix, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS sent_ix FROM documents),
 forms AS (SELECT file_ix, sent_ix, list_filter(string_split_regex(line, '[ \t\r]+'), lambda x: x <> '') AS f FROM lines),
-words AS (SELECT file_ix, sent_ix, unnest(f) AS form, generate_subscripts(f, 1) AS tok FROM forms),
+words AS (SELECT file_ix, sent_ix, len(f) AS n, unnest(f) AS form, generate_subscripts(f, 1) AS tok FROM forms),
 cut AS (SELECT *, lower(regexp_replace(form, '[^\p{L}\p{N}]+$', '')) AS c FROM words),
 lem AS (SELECT *, CASE WHEN c = '' THEN lower(form) ELSE c END AS lemma FROM cut),
 t AS (
-    SELECT file_ix, sent_ix, CAST(tok AS INTEGER) AS tok, form, lemma, (['NOUN', 'VERB', 'ADJ', 'ADV', 'ADP', 'NOUN'])[length(lemma) % 6 + 1] AS pos,
+    SELECT file_ix, sent_ix, n, c <> lower(form) AS glue, CAST(tok AS INTEGER) AS tok, form, lemma, (['NOUN', 'VERB', 'ADJ', 'ADV', 'ADP', 'NOUN'])[length(lemma) % 6 + 1] AS pos,
            'Case=' || (['Nom', 'Acc', 'Gen'])[tok % 3 + 1] || '|Number=' || CASE WHEN length(lemma) % 2 = 0 THEN 'Sing' ELSE 'Plur' END || '|POS=' || (['NOUN', 'VERB', 'ADJ', 'ADV', 'ADP', 'NOUN'])[length(lemma) % 6 + 1] AS msd
     FROM lem)"""
 ORD = r"""
-WITH r AS (SELECT l_orderkey AS file_ix, 0 AS sent_ix, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_shipdate) AS tok, p_brand AS form, lower(p_brand) AS lemma, (['NOUN', 'VERB', 'ADJ', 'ADV', 'ADP', 'NOUN'])[p_size % 6 + 1] AS pos FROM lineitem JOIN part ON l_partkey = p_partkey),
-t AS (SELECT *, 'POS=' || pos AS msd FROM r)"""
+WITH r AS (SELECT l_orderkey AS file_ix, 0 AS sent_ix, count(*) OVER (PARTITION BY l_orderkey) AS n, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_shipdate) AS tok, CASE l_linenumber % 4 WHEN 0 THEN p_brand WHEN 1 THEN lower(p_brand) ELSE p_brand || 's' END AS form, lower(p_brand) AS lemma, CASE l_returnflag WHEN 'A' THEN 'Nom' WHEN 'N' THEN 'Acc' ELSE 'Gen' END AS gcase, (['NOUN', 'VERB', 'ADJ', 'ADV', 'ADP', 'NOUN'])[p_size % 6 + 1] AS pos FROM lineitem JOIN part ON l_partkey = p_partkey),
+t AS (SELECT *, 'Case=' || gcase || '|POS=' || pos AS msd FROM r)"""
 LABELLED = """,
 e AS (
-    SELECT t.*, t.tok // 2 AS head, CASE WHEN t.tok = 1 THEN 'root' WHEN pos = 'ADV' THEN 'advmod' WHEN pos = 'ADJ' THEN 'amod' WHEN pos = 'ADP' THEN 'case' WHEN pos = 'VERB' THEN 'conj' ELSE (['obj', 'obl', 'nsubj'])[t.tok % 3 + 1] END AS label FROM t)"""
+    SELECT t.*, CASE WHEN (t.file_ix + t.sent_ix) % 2 = 0 THEN t.tok // 2 WHEN t.tok = t.n THEN 0 ELSE t.n + 1 - (t.n + 1 - t.tok) // 2 END AS head,
+           CASE WHEN head = 0 THEN 'root' WHEN pos = 'ADV' THEN 'advmod' WHEN pos = 'ADJ' THEN 'amod' WHEN pos = 'ADP' THEN 'case' WHEN pos = 'VERB' THEN 'conj' ELSE (['obj', 'obl', 'nsubj'])[t.tok % 3 + 1] END AS label FROM t)"""
 
 
 def _join(child: str, parent: str, label: str, kind: str = "JOIN") -> str:
@@ -256,6 +310,11 @@ def _counted(joins: str, names: dict[str, str], where: str = "true") -> str:
 _E, _N = _join("b", "a", "amod"), {"l1": "a", "l2": "b"}
 _FORK = _E + _join("c", "a", "advmod")
 _REP = f"{ORD}{LABELLED} SELECT a.lemma AS l1, b.lemma AS l2, {{}} AS text FROM t a{_E} GROUP BY ALL"
+_BEST = f"""{ORD}{LABELLED},
+u AS (SELECT lemma, msd, form AS text, count(*) AS f FROM t GROUP BY ALL),
+w AS (SELECT a.lemma, a.msd, CASE WHEN b.f IS NULL THEN a.text ELSE lower(a.text) END AS text, a.f FROM u a LEFT JOIN u b ON a.lemma = b.lemma AND a.msd = b.msd AND b.text = lower(a.text) AND a.text[1] = upper(a.text[1]) AND a.text[1] <> lower(a.text[1]) AND b.f <= a.f AND b.f >= 0.1 * a.f),
+best AS (SELECT lemma, msd, text FROM (SELECT *, row_number() OVER (PARTITION BY lemma, msd ORDER BY f DESC, text) AS k FROM w) WHERE k = 1)"""
+_TAGS = f"m AS (SELECT a.lemma AS l1, b.lemma AS l2, a.msd AS am, b.msd AS bm FROM t a{_E}), c AS (SELECT l1, l2, bm, row_number() OVER (PARTITION BY l1, l2 ORDER BY count(*) DESC, bm) AS k FROM m GROUP BY l1, l2, bm)"
 _FORMS = """
 WITH forms AS (SELECT p_brand AS lemma, 'Nc' || (['m', 'f', 'n'])[p_size % 3 + 1] || (['s', 'd', 'p'])[length(p_type) % 3 + 1] || 'n' AS msd, p_type AS form, count(*) AS frequency FROM part GROUP BY ALL),
 lex AS (SELECT * EXCLUDE n FROM (SELECT *, row_number() OVER (PARTITION BY lemma, msd ORDER BY frequency DESC, form) AS n FROM forms) WHERE n = 1)"""
@@ -267,7 +326,7 @@ SQL = {
     "filter_negated": _counted(_E, _N, "a.pos = 'NOUN' AND a.msd NOT LIKE 'Case=Gen|%'"),
     "filter_lexis": _counted(_E, _N, "a.lemma IN ('the', 'of', 'la', 'le')"),
     "filter_or": _counted(_E, _N, "a.lemma IN ('the', 'la') OR a.pos = 'ADV'"),
-    "filter_space": _counted(_E, _N),
+    "filter_space": f"{TOK}, g AS (SELECT file_ix, sent_ix, tok, glue, coalesce(lag(glue) OVER (PARTITION BY file_ix, sent_ix ORDER BY tok), false) AS pglue FROM t){LABELLED} SELECT a.lemma AS l1, b.lemma AS l2, count(*) AS frequency FROM t a{_E} JOIN g x ON x.file_ix = a.file_ix AND x.sent_ix = a.sent_ix AND x.tok = a.tok JOIN g y ON y.file_ix = b.file_ix AND y.sent_ix = b.sent_ix AND y.tok = b.tok WHERE x.glue = x.pglue AND NOT y.glue GROUP BY ALL",
     "match_edge": _counted(_E, _N),
     "match_chain": _counted(_join("b", "a", "obl") + _join("c", "b", "case"), _N | {"l3": "c"}),
     "match_fork": _counted(_FORK, _N | {"l3": "c"}),
@@ -284,11 +343,28 @@ SQL = {
     "corpus_size": f"{TOK} SELECT count(*) + count(DISTINCT (file_ix, sent_ix)) AS n FROM t",
     "dispersion": f"{ORD}{LABELLED}, m AS (SELECT a.lemma AS l1, b.lemma AS l2 FROM t a{_E} GROUP BY ALL HAVING count(*) >= 3) SELECT '1' AS cid, l1 AS lemma, count(*) AS dispersion FROM m GROUP BY l1 UNION ALL SELECT '2', l2, count(*) FROM m GROUP BY l2",
     "distinct_forms": f"{TOK}{LABELLED} SELECT a.lemma AS l1, b.lemma AS l2, count(DISTINCT a.form || ' ' || b.form) AS distinct_forms FROM t a{_E} GROUP BY ALL",
-    "modal_order": f"{TOK}{LABELLED}, m AS (SELECT a.lemma AS l1, b.lemma AS l2, c.lemma AS l3, CASE WHEN b.tok < c.tok THEN '123' ELSE '132' END AS o, count(*) AS n, min((a.file_ix, a.sent_ix, a.tok)) AS seen FROM t a{_FORK} GROUP BY ALL) SELECT l1, l2, l3, o AS \"order\" FROM (SELECT *, row_number() OVER (PARTITION BY l1, l2, l3 ORDER BY n DESC, seen) AS k FROM m) WHERE k = 1",
+    "modal_order": f"{TOK}{LABELLED}, m AS (SELECT a.lemma AS l1, b.lemma AS l2, c.lemma AS l3, array_to_string(list_transform(list_sort([(a.tok, '1'), (b.tok, '2'), (c.tok, '3')]), lambda x: x[2]), '') AS o, count(*) AS n, min((a.file_ix, a.sent_ix, a.tok)) AS seen FROM t a{_FORK} GROUP BY ALL) SELECT l1, l2, l3, o AS \"order\" FROM (SELECT *, row_number() OVER (PARTITION BY l1, l2, l3 ORDER BY n DESC, seen) AS k FROM m) WHERE k = 1",
     "association": f"{ORD}{LABELLED}, m AS (SELECT a.lemma AS lemma1, b.lemma AS lemma2, count(*) AS f, arg_min(a.pos, (a.file_ix, a.tok, b.tok)) AS p1, arg_min(b.pos, (a.file_ix, a.tok, b.tok)) AS p2 FROM t a{_E} GROUP BY ALL), w AS (SELECT lemma, pos, count(*) AS f FROM t GROUP BY ALL), n AS (SELECT count(*) + count(DISTINCT file_ix) AS n FROM t) SELECT lemma1, lemma2, m.f AS frequency, round(m.f / x.f - (y.f - m.f) / (n - x.f), 6) AS delta_p12, round(m.f / y.f - (x.f - m.f) / (n - y.f), 6) AS delta_p21, round(14 + log2(2 * m.f / (x.f + y.f)), 6) AS logdice_core, round(14 + log2(2 * m.f / (x.f + y.f)), 6) AS logdice_all FROM m JOIN w x ON x.lemma = lemma1 AND x.pos = p1 JOIN w y ON y.lemma = lemma2 AND y.pos = p2, n",
     "rep_any": f"{TOK} SELECT lemma, msd, form AS text FROM (SELECT lemma, msd, form, row_number() OVER (PARTITION BY lemma, msd ORDER BY count(*) DESC, form) AS k FROM t GROUP BY lemma, msd, form) WHERE k = 1",
-    "rep_all_forms": f"{TOK} SELECT lemma, string_agg(f, '/' ORDER BY f) AS forms FROM (SELECT DISTINCT lemma, lower(form) AS f FROM t) GROUP BY lemma",
-    "rep_lexis": _REP.format("'zz'"), "rep_lemma": _REP.format("b.lemma"), "rep_word_form": _REP.format("b.form"), "rep_lowercase": _REP.format("lower(b.form)"),
+    "rep_all_forms": f"{TOK} SELECT lemma, string_agg(f, '/' ORDER BY f) AS forms, CAST(count(*) AS INTEGER) AS n FROM (SELECT DISTINCT lemma, lower(form) AS f FROM t) GROUP BY lemma",
+    "rep_lexis": _REP.format("'zz'"), "rep_lemma": _REP.format("b.lemma"), "rep_lowercase": _REP.format("string_agg(DISTINCT lower(b.form), '/' ORDER BY lower(b.form))"),
+    "rep_word_form": f"{_BEST}, {_TAGS} SELECT l1, l2, text FROM c JOIN best ON best.lemma = l2 AND best.msd = bm WHERE k = 1",
+    "rep_msd": f"{_BEST}, {_TAGS}, n AS (SELECT * FROM c JOIN best ON best.lemma = l2 AND best.msd = bm WHERE bm LIKE 'Case=Nom|%') SELECT l1, l2, n.text FROM (SELECT DISTINCT l1, l2 FROM m) LEFT JOIN n USING (l1, l2)",
+    "rep_agreement": f"{_BEST}, {_TAGS}, h AS (SELECT l1, l2, am, row_number() OVER (PARTITION BY l1, l2 ORDER BY count(*) DESC, am) AS k FROM m GROUP BY l1, l2, am), n AS (SELECT l1, l2, arg_min(text, k) AS text FROM h JOIN best ON best.lemma = l2 AND best.msd = split_part(am, '|', 1) || '|POS=ADJ' GROUP BY l1, l2) SELECT l1, l2, n.text FROM (SELECT DISTINCT l1, l2 FROM m) LEFT JOIN n USING (l1, l2)",
+    "read_conllu": f"{TOK} SELECT file_ix || '.' || sent_ix AS sentence_id, tok, form, lemma, pos, msd, glue FROM t",
+    "read_tei": f"{ORD}{LABELLED} SELECT CAST(file_ix AS VARCHAR) AS sentence_id, label, CAST(head AS INTEGER) AS head, CAST(tok AS INTEGER) AS tok, form, lemma, msd FROM e",
+    "jos_match": f"{ORD}{LABELLED}, j AS (SELECT *, (['m', 'f', 'n'])[length(lemma) % 3 + 1] || CASE WHEN tok % 2 = 0 THEN 's' ELSE 'p' END || lower(gcase[1]) AS tail FROM e) SELECT a.lemma AS lemma1, b.lemma AS lemma2, 'Nc' || a.tail AS msd1, 'Agp' || b.tail AS msd2, count(*) AS frequency FROM j a JOIN j b ON a.file_ix = b.file_ix AND b.head = a.tok AND b.label = 'amod' WHERE a.pos = 'NOUN' AND a.tail[1] IN ('m', 'f') AND b.gcase <> 'Gen' GROUP BY ALL",
+    "colloc_report": f"""{_BEST},
+m AS ({" UNION ALL ".join(f"SELECT '{name}' AS sid, {ix} AS six, a.file_ix, a.tok AS ta, b.tok AS tb, a.lemma AS l1, b.lemma AS l2, a.msd AS am, b.msd AS bm, a.pos AS ap, b.pos AS bp, a.form || ' ' || b.form AS ab FROM t a{_join('b', 'a', label)}" for ix, (name, label) in enumerate((("p", "amod"), ("q", "advmod"))))}),
+k AS (SELECT sid, l1, l2, count(*) AS f, min((file_ix, six, ta, tb)) AS seen, arg_min(am, (file_ix, ta, tb)) AS m1, arg_min(ap, (file_ix, ta, tb)) AS p1, arg_min(bp, (file_ix, ta, tb)) AS p2, count(DISTINCT ab) AS forms FROM m GROUP BY ALL),
+o AS (SELECT sid, l1, l2, first(ahead ORDER BY n DESC, seen) AS ahead FROM (SELECT sid, l1, l2, ta < tb AS ahead, count(*) AS n, min((file_ix, ta, tb)) AS seen FROM m GROUP BY ALL) GROUP BY ALL),
+c AS (SELECT sid, l1, l2, bm, row_number() OVER (PARTITION BY sid, l1, l2 ORDER BY count(*) DESC, bm) AS n FROM m GROUP BY sid, l1, l2, bm),
+wc AS (SELECT lemma, pos, count(*) AS f FROM t GROUP BY ALL), size AS (SELECT count(*) + count(DISTINCT file_ix) AS n FROM t)
+SELECT sid AS "Structure_ID", l1 AS "C1_Lemma", l1 AS "C1_Representative_form", m1 AS "C1_RF_msd", 'ok' AS "C1_RF_scenario", count(*) OVER (PARTITION BY sid, l1) AS "C1_Distribution",
+       l2 AS "C2_Lemma", best.text AS "C2_Representative_form", bm AS "C2_RF_msd", 'ok' AS "C2_RF_scenario", count(*) OVER (PARTITION BY sid, l2) AS "C2_Distribution",
+       row_number() OVER (ORDER BY seen) AS "Collocation_ID", l1 || ' ' || best.text AS "Joint_representative_form_fixed", CASE WHEN ahead THEN l1 || ' ' || best.text ELSE best.text || ' ' || l1 END AS "Joint_representative_form_variable", k.f AS "Frequency",
+       round(k.f / x.f - (y.f - k.f) / (size.n - x.f), 6) AS "Delta_p12", round(k.f / y.f - (x.f - k.f) / (size.n - y.f), 6) AS "Delta_p21", round(14 + log2(2 * k.f / (x.f + y.f)), 6) AS "LogDice_core", round(14 + log2(2 * k.f / (x.f + y.f)), 6) AS "LogDice_all", forms AS "Distinct_forms"
+FROM k JOIN o USING (sid, l1, l2) JOIN c USING (sid, l1, l2) JOIN best ON best.lemma = l2 AND best.msd = bm JOIN wc x ON x.lemma = l1 AND x.pos = p1 JOIN wc y ON y.lemma = l2 AND y.pos = p2, size WHERE c.n = 1""",
     "lexicon_build": f"{_FORMS} SELECT lemma, msd, form, frequency FROM lex",
     "lexicon_lookup": f"{_FORMS}, k AS (SELECT *, row_number() OVER (PARTITION BY lemma ORDER BY frequency DESC, msd, form) AS n FROM lex WHERE msd[3] = 'f') SELECT b.lemma, k.form, k.msd AS form_msd FROM (SELECT DISTINCT lemma FROM forms) b LEFT JOIN k ON k.lemma = b.lemma AND k.n = 1",
     "msd_decode": f"{_FORMS} SELECT DISTINCT msd, 'noun' AS pos, CASE msd[3] WHEN 'm' THEN 'masculine' WHEN 'f' THEN 'feminine' ELSE 'neuter' END AS gender, CASE msd[4] WHEN 's' THEN 'singular' WHEN 'd' THEN 'dual' ELSE 'plural' END AS number, 'nominative' AS gcase FROM forms",

@@ -1,7 +1,7 @@
-"""Annotated corpora as two tables.
+"""Annotated corpora: a row per sentence, with its tokens and links as arrays, so that patterns are matched inside the row.
 
-tokens: file_ix, sent_ix, tok, sentence_id, token_id, int_id, form, lemma, msd, pos, feats, glue, previous_glue, is_root
-edges:  file_ix, sent_ix, head, label, link_ix, dep; head and dep are whole tokens, so a pattern of one edge needs no join
+sentences: file_ix, sent_ix, sentence_id, tokens array<TOKEN>, links array<struct<head:int,dep:int,label:string>>
+tokens:    file_ix, sent_ix, tok, sentence_id, token_id, int_id, form, lemma, msd, pos, glue, previous_glue, is_root
 
 (file_ix, sent_ix) is the key of a sentence: sentence ids repeat over files. tok counts from 0, the artificial root.
 """
@@ -11,22 +11,24 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from urllib.parse import unquote
 from xml.etree import ElementTree
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.tags import decode_msd, translate_label
+from ..functions.arrays import let
+from ..functions.tags import translate_label
 
 KEY = ("file_ix", "sent_ix")
-TOKEN = "struct<tok:int,token_id:string,int_id:int,form:string,lemma:string,msd:string,pos:string,feats:map<string,string>,glue:boolean,previous_glue:boolean,is_root:boolean>"
-FIELDS = tuple(x.split(":")[0] for x in re.sub(r"map<[^>]*>", "map", TOKEN[7:-1]).split(","))
+TOKEN = "struct<tok:int,token_id:string,int_id:int,form:string,lemma:string,msd:string,pos:string,glue:boolean,previous_glue:boolean,is_root:boolean>"
+FIELDS = tuple(x.split(":")[0] for x in TOKEN[7:-1].split(","))
 
 
 @dataclass(frozen=True)
 class Corpus:
-    """sentences: file_ix, sent_ix, sentence_id, tokens array<TOKEN>, links array<struct<head:int,dep:int,label:string>>."""
+    """sentences as above; ud tells the tag system: features by name, or positional tags."""
 
     sentences: DataFrame
     ud: bool = True
@@ -37,73 +39,95 @@ class Corpus:
 
     @property
     def edges(self) -> DataFrame:
-        """A link whose ends are not both in the sentence is left out. Rows of one sentence stay where they are."""
-        links = self.sentences.select(*KEY, "sentence_id", "tokens", F.posexplode("links").alias("link_ix", "l"))
+        """A row per link: head and dep are whole tokens. A link whose ends are not both in the sentence is left out."""
         at = lambda i: F.get("tokens", i)
-        return links.select(*KEY, "sentence_id", at(F.col("l.head")).alias("head"), "l.label", "link_ix", at(F.col("l.dep")).alias("dep")).where("head IS NOT NULL AND dep IS NOT NULL")
+        ends = F.transform("links", lambda x, i: F.struct(at(x["head"]).alias("head"), x["label"].alias("label"), i.alias("link_ix"), at(x["dep"]).alias("dep")))
+        whole = F.filter(ends, lambda x: x["head"].isNotNull() & x["dep"].isNotNull())
+        return self.sentences.select(*KEY, "sentence_id", F.explode(whole).alias("x")).select(*KEY, "sentence_id", "x.*")
 
+    def union(self, other: Corpus) -> Corpus:
+        return Corpus(self.sentences.unionByName(other.sentences), self.ud)
 
-def ud_token(tok: Column, token_id: Column, form: Column, lemma: Column, pos: Column, feats: Column, glue: Column) -> Column:
-    """A token of the UD system; feats is `k=v|k=v`, `_` or null. msd lists the features in order, POS last."""
-    given = F.when(feats.isNull() | (feats == "_"), F.lit("")).otherwise(feats)
-    msd = F.concat(given, F.when(given == "", "").otherwise("|"), F.lit("POS="), pos)
-    return _token(tok, token_id, form, lemma, msd, pos, F.str_to_map(msd, F.lit(r"\|"), F.lit("=")), glue)
+
+def _number(token_id: Column) -> Column:
+    return F.coalesce(F.regexp_extract(token_id, r"(\d+)$", 1).try_cast("int"), F.lit(0))
 
 
-def jos_token(tok: Column, token_id: Column, form: Column, lemma: Column, msd: Column, glue: Column) -> Column:
-    return _token(tok, token_id, form, lemma, msd, F.substring(msd, 1, 1), decode_msd(msd), glue)
+def ud_msd(pos: Column, feats: Column) -> Column:
+    """The tag of the UD system: the features `k=v|k=v` (`_` or null: none) in their order, POS last."""
+    given = F.when(feats.isNull() | (feats == "_"), F.lit("")).otherwise(feats)
+    return F.concat(given, F.when(given == "", "").otherwise("|"), F.lit("POS="), pos)
 
 
-def _token(tok, token_id, form, lemma, msd, pos, feats, glue, previous=None, root=False) -> Column:
-    parts = (tok.cast("int"), token_id.cast("string"), F.coalesce(F.regexp_extract(token_id.cast("string"), r"(\d+)$", 1).try_cast("int"), F.lit(0)), form, lemma, msd, pos, feats, F.coalesce(glue, F.lit(False)), F.lit(False) if previous is None else previous, F.lit(root))
-    return F.struct(*(p.alias(n) for p, n in zip(parts, FIELDS, strict=True))).cast(TOKEN)
+def _token(tok, token_id, form, lemma, msd, pos, glue=None, previous=None, root=False, number=None) -> Column:
+    flag = lambda x: F.lit(False) if x is None else x
+    token_id = token_id.cast("string")
+    parts = (tok.cast("int"), token_id, _number(token_id) if number is None else number.cast("int"), form, lemma, msd, pos, flag(glue), flag(previous), F.lit(root))
+    return F.struct(*(p.alias(n) for p, n in zip(parts, FIELDS, strict=True)))
 
 
 def root_token() -> Column:
     """The artificial root: it heads the sentence, matches where nothing is asked, and counts in the corpus size."""
     empty = F.lit("")
-    return _token(F.lit(0), F.lit("0"), empty, empty, empty, empty, F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>")), F.lit(False), root=True)
+    return _token(F.lit(0), F.lit("0"), empty, empty, empty, empty, root=True, number=F.lit(0))
+
+
+def with_root(tokens: Column) -> Column:
+    return F.concat(F.array(root_token()), tokens)
 
 
-def _file_ix(rows: DataFrame) -> DataFrame:
-    """file_ix by path order; the list of files is small next to the corpus and is staged by the planner as it likes."""
-    paths = rows.select("path").distinct().withColumn("file_ix", F.row_number().over(Window.orderBy("path")) - 1)
-    return rows.join(F.broadcast(paths) if paths.count() < 100_000 else paths, "path")
+def input_files(spark: SparkSession, paths: str | list[str]) -> list[str]:
+    """The files below paths in path order, from their listing alone, as scans name them (percent-encoded); .zstd files are skipped."""
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(paths).inputFiles()
+    found = sorted(re.sub("^file:///", "file:/", x) for x in found if not x.endswith(".zstd"))
+    if not found:
+        raise ValueError(f"no files in {paths}")
+    return found
 
 
-def read_conllu(spark: SparkSession, paths: str | list[str], *, ud: bool = True, jos_labels: str = "sl") -> Corpus:
-    """CoNLL-U and CoNLL-U Plus: a sentence is a run of lines up to an empty line.
+def file_numbers(spark: SparkSession, files: list[str]) -> DataFrame:
+    """(path, file_ix): the driver holds the list of files anyway, as Spark plans a scan from it."""
+    return spark.createDataFrame(list(zip(files, range(len(files)), strict=True)), "path string, file_ix int")
+
+
+def read_conllu(spark: SparkSession, paths: str | list[str], *, ud: bool = True, jos_labels: str = "sl", files: DataFrame | None = None) -> Corpus:
+    """CoNLL-U and CoNLL-U Plus: a sentence is a run of lines up to an empty one; lines end with LF or CRLF.
 
     Columns are those of `# global.columns`, or the ten of CoNLL-U. Multiword and empty-node lines are skipped. A sentence
     without tokens gives no row; one without sent_id has a null sentence_id. Directories are read through, in path order;
-    .zstd files are skipped. jos_labels="en" translates dependency labels.
+    .zstd files are skipped. jos_labels="en" translates dependency labels. sent_ix rises along a file but has gaps: it is
+    the start of the scan's block and the place of the sentence in its task, so no row is moved to number it. Files with
+    LF are split over tasks at empty lines; one with CRLF has none that the scan knows, so each of its blocks is one record.
     """
-    reader = spark.read.option("lineSep", "\n\n").option("recursiveFileLookup", True)
-    raw = reader.text(paths).select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("seq"), F.regexp_replace("value", "\r\n", "\n").alias("value"))
-    raw = raw.where(~F.col("path").endswith(".zstd"))
-    raw = raw.withColumn("start", F.coalesce("start", F.lit(0)))
-    lines = F.split(F.col("value"), "\n")
-    named = F.regexp_extract("value", r"# global\.columns *= *(.+)", 1)
-    header = raw.where(named != "").groupBy("path").agg(F.first(named).alias("names"))
+    names = input_files(spark, paths)
+    files = file_numbers(spark, names) if files is None else files
+    raw = spark.read.option("lineSep", "\n\n").text(list(map(unquote, names)))
+    raw = raw.select(F.col("_metadata.file_path").alias("path"), F.coalesce("_metadata.file_block_start", F.lit(0)).alias("start"), F.explode(F.split("value", r"\r?\n[ \t]*\r?\n")).alias("value"))
+    raw = raw.select("path", (F.shiftleft("start", 23) + F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 23) - 1))).alias("sent_ix"), F.split("value", r"\r?\n").alias("said"))
     plain = "ID FORM LEMMA UPOS XPOS FEATS HEAD DEPREL DEPS MISC"
-    rows = raw.join(header, "path", "left").withColumn("names", F.split(F.coalesce("names", F.lit(plain)), " +"))
-    rows = rows.withColumn("lines", F.filter(lines, lambda x: x.rlike(r"^\d+\t")))
-    rows = rows.where(F.size("lines") > 0)
-    place = lambda name: F.array_position("names", name).cast("int")
-    cell = lambda line, name: F.get(F.split(line, "\t"), place(name) - 1)
+    if any(x.endswith(".conllup") for x in names):
+        found = F.array_compact(F.transform("said", lambda x: F.regexp_extract(x, r"^# global\.columns *= *(.+)", 1).alias("names")))
+        header = raw.select("path", F.array_max(found).alias("names")).where("names <> ''").groupBy("path").agg(F.first("names").alias("names"))
+        raw = raw.join(header, "path", "left")
+        columns = F.split(F.coalesce("names", F.lit(plain)), " +")
+    else:
+        columns = F.array(*map(F.lit, plain.split()))
+    rows = raw.withColumn("lines", F.transform(F.filter("said", lambda x: x.rlike(r"^\d+\t")), lambda x: F.split(x, "\t")))
+    rows = rows.where(F.size("lines") > 0).withColumn("columns", columns)
+    cell = lambda line, name: F.get(line, F.array_position("columns", name).cast("int") - 1)
 
     def token(line: Column, i: Column) -> Column:
-        misc = F.str_to_map(cell(line, "MISC"), F.lit(r"\|"), F.lit("="))
-        glue = F.try_element_at(misc, F.lit("SpaceAfter")) == "No"
+        misc = F.concat(F.lit("|"), F.coalesce(cell(line, "MISC"), F.lit("")), F.lit("|"))
         common = (i + 1, cell(line, "ID"), cell(line, "FORM"), cell(line, "LEMMA"))
-        return ud_token(*common, cell(line, "UPOS"), cell(line, "FEATS"), glue) if ud else jos_token(*common, cell(line, "XPOS"), glue)
+        tag = (ud_msd(cell(line, "UPOS"), cell(line, "FEATS")), cell(line, "UPOS")) if ud else (cell(line, "XPOS"), F.substring(cell(line, "XPOS"), 1, 1))
+        return _token(*common, *tag, misc.contains("|SpaceAfter=No|"))
 
-    ids = F.concat(F.array(F.lit("0")), F.transform("lines", lambda x: cell(x, "ID")))
     label = lambda x: cell(x, "DEPREL") if ud or jos_labels == "sl" else translate_label(cell(x, "DEPREL"))
-    links = F.transform("lines", lambda x, i: F.struct((F.array_position("ids", cell(x, "HEAD")).cast("int") - 1).alias("head"), (i + 1).cast("int").alias("dep"), label(x).alias("label")))
-    sent_id = F.regexp_extract("value", r"# sent_id *= *([^\n]+)", 1)
-    rows = _file_ix(rows.withColumn("ids", ids)).withColumn("sent_ix", F.row_number().over(Window.partitionBy("file_ix").orderBy("start", "seq")) - 1)
-    return Corpus(rows.select(*KEY, F.when(sent_id != "", F.trim(sent_id)).alias("sentence_id"), F.concat(F.array(root_token()), F.transform("lines", token)).alias("tokens"), links.alias("links")), ud)
+    ids = F.concat(F.array(F.lit("0")), F.transform("lines", lambda x: cell(x, "ID")))
+    links = let(ids, lambda known: F.transform("lines", lambda x, i: F.struct((F.array_position(known, cell(x, "HEAD")).cast("int") - 1).alias("head"), (i + 1).cast("int").alias("dep"), label(x).alias("label"))))
+    said = F.array_max(F.transform("said", lambda x: F.nullif(F.trim(F.regexp_extract(x, r"^# sent_id *= *(.+)", 1)), F.lit(""))))
+    few = F.broadcast(files) if len(names) < 100_000 else files
+    return Corpus(rows.join(few, "path").select(*KEY, said.alias("sentence_id"), with_root(F.transform("lines", token)).alias("tokens"), links.alias("links")), ud)
 
 
 TEI_ROW = "path string, sent_ix int, sentence_id string, words array<struct<id:string,form:string,lemma:string,pos:string,msd:string,glue:boolean>>, links array<struct<head:string,dep:string,label:string>>"
@@ -140,78 +164,95 @@ def tei_sentences(data: bytes, ud: bool) -> Iterator[tuple[str, list[dict], list
         yield ident(sentence), words, links
 
 
-def read_tei(spark: SparkSession, paths: str | list[str], *, ud: bool = True, jos_labels: str = "sl") -> Corpus:
-    """TEI XML: both link encodings (from/dep/afun, and ana/target), glue from join="right". A link to a word outside its sentence is left out."""
+def read_tei(spark: SparkSession, paths: str | list[str], *, ud: bool = True, jos_labels: str = "sl", files: DataFrame | None = None) -> Corpus:
+    """TEI XML: both link encodings (from/dep/afun, and ana/target), glue from join="right". A link to a word outside its sentence is left out. A document is one task's work."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for path, data in zip(batch["path"], batch["content"], strict=True):
                 yield pd.DataFrame([(path, i, *s) for i, s in enumerate(tei_sentences(data, ud))], columns=["path", "sent_ix", "sentence_id", "words", "links"])
 
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.xml").load(paths).select("path", "content")
-    rows = _file_ix(files.mapInPandas(run, TEI_ROW))
+    names = input_files(spark, paths)
+    files = file_numbers(spark, names) if files is None else files
+    read = spark.read.format("binaryFile").load(list(map(unquote, names))).select(F.col("_metadata.file_path").alias("path"), "content")
+    rows = read.mapInPandas(run, TEI_ROW).join(F.broadcast(files) if len(names) < 100_000 else files, "path")
     ids = F.concat(F.array("sentence_id"), F.col("words.id"))
 
     def token(w: Column, i: Column) -> Column:
         before = F.coalesce(F.get(F.col("words.glue"), i - 1), F.lit(False))
-        previous = F.when(i > 0, before).otherwise(F.lit(False))
-        made = ud_token(i + 1, w["id"], w["form"], w["lemma"], w["pos"], w["msd"], w["glue"]) if ud else jos_token(i + 1, w["id"], w["form"], w["lemma"], w["msd"], w["glue"])
-        short = F.substring_index(w["id"], ".", -1)
-        return made.withField("previous_glue", previous).withField("token_id", short)
+        tag = (ud_msd(w["pos"], w["msd"]), w["pos"]) if ud else (w["msd"], F.substring(w["msd"], 1, 1))
+        return _token(i + 1, F.substring_index(w["id"], ".", -1), w["form"], w["lemma"], *tag, w["glue"], before, number=_number(w["id"]))
 
     label = lambda x: x["label"] if jos_labels == "sl" else translate_label(x["label"])
     links = F.transform("links", lambda x: F.struct((F.array_position("ids", x["head"]).cast("int") - 1).alias("head"), (F.array_position("ids", x["dep"]).cast("int") - 1).alias("dep"), label(x).alias("label")))
-    rows = rows.withColumn("ids", ids)
-    return Corpus(rows.select(*KEY, "sentence_id", F.concat(F.array(root_token()), F.transform("words", token)).alias("tokens"), links.alias("links")), ud)
+    return Corpus(rows.withColumn("ids", ids).select(*KEY, "sentence_id", with_root(F.transform("words", token)).alias("tokens"), links.alias("links")), ud)
 
 
 def read_corpus(spark: SparkSession, paths: str | list[str], **options) -> Corpus:
-    """By suffix: .xml is TEI, .conllu and .conllup are CoNLL-U; anything else must be a directory of CoNLL-U files."""
-    first = paths if isinstance(paths, str) else paths[0]
-    if first.endswith(".xml"):
-        return read_tei(spark, paths, **options)
-    if re.search(r"\.(conllup?|d)$", first) or "." not in first.rstrip("/").rpartition("/")[2]:
-        return read_conllu(spark, paths, **options)
-    raise ValueError(f"unknown corpus format: {first}")
+    """Files and directories of both formats, each file by its suffix: .xml is TEI, .conllu and .conllup are CoNLL-U.
+
+    Files are numbered in path order over both. A file with another suffix raises an error; .zstd files are skipped.
+    """
+    names = input_files(spark, paths)
+    of = {x: x.rpartition(".")[2] for x in names}
+    if unknown := [x for x in names if of[x] not in ("xml", "conllu", "conllup")]:
+        raise ValueError(f"unknown corpus format: {unknown[:3]}")
+    files = file_numbers(spark, names)
+    kinds = ((read_tei, [x for x in names if of[x] == "xml"]), (read_conllu, [x for x in names if of[x] != "xml"]))
+    read = [reader(spark, list(map(unquote, own)), files=files, **options) for reader, own in kinds if own]
+    return read[0] if len(read) == 1 else Corpus(read[0].union(read[1]).sentences, read[0].ud)
 
 
 UPOS = ("NOUN", "VERB", "ADJ", "ADV", "ADP", "NOUN")
 
 
-def _upos(n: Column) -> Column:
-    return F.element_at(F.array(*map(F.lit, UPOS)), (n % 6 + 1).cast("int"))
+def _pick(values, i: Column) -> Column:
+    return F.element_at(F.array(*map(F.lit, values)), (i + 1).cast("int"))
 
 
-def _heap_label(tok: Column, pos: Column) -> Column:
-    by_pos = F.when(pos == "ADV", "advmod").when(pos == "ADJ", "amod").when(pos == "ADP", "case").when(pos == "VERB", "conj")
-    return F.when(tok == 1, "root").otherwise(by_pos.otherwise(F.element_at(F.array(*map(F.lit, ("obj", "obl", "nsubj"))), (tok % 3 + 1).cast("int"))))
+def _upos(n: Column) -> Column:
+    return _pick(UPOS, n % 6)
 
 
 def _heap_corpus(sentences: DataFrame) -> Corpus:
-    """sentences with `words` array<struct<form,lemma,pos,feats>>: the head of word n is word n // 2, so every word has two children at most."""
-    token = lambda w, i: ud_token(i + 1, (i + 1).cast("string"), w["form"], w["lemma"], w["pos"], w["feats"], F.lit(False))
-    link = lambda w, i: F.struct(F.floor((i + 1) / 2).cast("int").alias("head"), (i + 1).cast("int").alias("dep"), _heap_label(i + 1, w["pos"]).alias("label"))
-    return Corpus(sentences.select(*KEY, "sentence_id", F.concat(F.array(root_token()), F.transform("words", token)).alias("tokens"), F.transform("words", link).alias("links")))
+    """sentences with `words` array<struct<form,lemma,pos,feats,glue>>: in the order of the words, or from the end where file and sentence number add up to an odd number, the head of word n is word n // 2."""
+
+    def token(words: Column):
+        return lambda w, i: _token(i + 1, i + 1, w["form"], w["lemma"], F.concat(w["feats"], F.lit("|POS="), w["pos"]), w["pos"], w["glue"], F.coalesce(F.get(words, i - 1)["glue"], F.lit(False)), number=i + 1)
+
+    mirrored, n = (F.col("file_ix") + F.col("sent_ix")) % 2 == 1, F.size("words")
+
+    def link(w: Column, i: Column) -> Column:
+        tok = i + 1
+        above = F.shiftright(F.when(mirrored, n - i).otherwise(tok), 1)
+        head = F.when(mirrored & (above > 0), n + 1 - above).otherwise(above)
+        by_pos = F.when(w["pos"] == "ADV", "advmod").when(w["pos"] == "ADJ", "amod").when(w["pos"] == "ADP", "case").when(w["pos"] == "VERB", "conj").otherwise(_pick(("obj", "obl", "nsubj"), tok % 3))
+        return F.struct(head.cast("int").alias("head"), tok.cast("int").alias("dep"), F.when(above == 0, "root").otherwise(by_pos).alias("label"))
+
+    return Corpus(sentences.select(*KEY, "sentence_id", with_root(let(F.col("words"), lambda words: F.transform(words, token(words)))).alias("tokens"), F.transform("words", link).alias("links")))
 
 
 def documents_corpus(docs: DataFrame) -> Corpus:
-    """Plain documents as a treebank by rule: a line with a word is a sentence, and each document is a file."""
+    """Plain documents as a treebank by rule: a line with a word is a sentence, and each document is a file. A word that ends in other characters than letters and digits has no space after it."""
     lines = docs.select(F.col("doc_id").alias("file_ix"), F.posexplode(F.split("text", "\n")).alias("sent_ix", "line"))
-    split = lines.withColumn("forms", F.filter(F.split("line", r"[ \t\r]+"), lambda x: x != "")).where(F.size("forms") > 0)
+    forms = F.filter(F.split("line", r"[ \t\r]+"), lambda x: x != "")
+    cut = F.transform(forms, lambda x: F.struct(x.alias("form"), F.lower(x).alias("low"), F.lower(F.regexp_replace(x, r"[^\p{L}\p{N}]+$", "")).alias("cut")))
+    known = F.transform(cut, lambda x: F.struct(x["form"].alias("form"), F.when(x["cut"] == "", x["low"]).otherwise(x["cut"]).alias("lemma"), (x["cut"] != x["low"]).alias("glue")))
 
-    def word(form: Column, i: Column) -> Column:
-        cut = F.lower(F.regexp_replace(form, r"[^\p{L}\p{N}]+$", ""))
-        lemma = F.when(cut == "", F.lower(form)).otherwise(cut)
-        case = F.element_at(F.array(F.lit("Nom"), F.lit("Acc"), F.lit("Gen")), ((i + 1) % 3 + 1).cast("int"))
-        feats = F.concat(F.lit("Case="), case, F.lit("|Number="), F.when(F.length(lemma) % 2 == 0, "Sing").otherwise("Plur"))
-        return F.struct(form.alias("form"), lemma.alias("lemma"), _upos(F.length(lemma)).alias("pos"), feats.alias("feats"))
+    def word(x: Column, i: Column) -> Column:
+        n = F.length(x["lemma"])
+        feats = F.concat(F.lit("Case="), _pick(("Nom", "Acc", "Gen"), (i + 1) % 3), F.when(n % 2 == 0, "|Number=Sing").otherwise("|Number=Plur"))
+        return F.struct(x["form"].alias("form"), x["lemma"].alias("lemma"), _upos(n).alias("pos"), feats.alias("feats"), x["glue"].alias("glue"))
 
     named = F.concat_ws(".", F.col("file_ix").cast("string"), F.col("sent_ix").cast("string"))
-    return _heap_corpus(split.select(*KEY, named.alias("sentence_id"), F.transform("forms", word).alias("words")))
+    return _heap_corpus(lines.select(*KEY, named.alias("sentence_id"), F.transform(known, word).alias("words")).where(F.size("words") > 0))
 
 
 def orders_corpus(lineitem: DataFrame, part: DataFrame) -> Corpus:
-    """Orders as short sentences: a line is a word, its brand the lemma; an order has few lines, so a sentence is small."""
-    words = lineitem.join(part, F.col("l_partkey") == F.col("p_partkey")).select(F.col("l_orderkey").alias("file_ix"), F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_shipdate", F.struct(F.col("p_brand").alias("form"), F.lower("p_brand").alias("lemma"), _upos(F.col("p_size")).alias("pos"), F.lit("_").alias("feats")).alias("w")).alias("x"))
+    """Orders as short sentences: a line is a word, its brand the lemma, in several forms and cases; an order has few lines, so a sentence is small."""
+    form = F.when(F.col("l_linenumber") % 4 == 0, F.col("p_brand")).when(F.col("l_linenumber") % 4 == 1, F.lower("p_brand")).otherwise(F.concat("p_brand", F.lit("s")))
+    case = F.when(F.col("l_returnflag") == "A", "Case=Nom").when(F.col("l_returnflag") == "N", "Case=Acc").otherwise("Case=Gen")
+    word = F.struct(form.alias("form"), F.lower("p_brand").alias("lemma"), _upos(F.col("p_size")).alias("pos"), case.alias("feats"), F.lit(False).alias("glue")).alias("w")
+    words = lineitem.join(part, F.col("l_partkey") == F.col("p_partkey")).select(F.col("l_orderkey").alias("file_ix"), F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_shipdate", word).alias("x"))
     grouped = words.groupBy("file_ix").agg(F.sort_array(F.collect_list("x")).alias("xs"))
     return _heap_corpus(grouped.select("file_ix", F.lit(0).alias("sent_ix"), F.col("file_ix").cast("string").alias("sentence_id"), F.col("xs.w").alias("words")))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -9,8 +10,14 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, as named in spark.checkpoint.dir; a temporary one where it is unset (tests)."""
+    """The folder that driver and executors share, as named in spark.checkpoint.dir.
+
+    Where it is unset, a local master gets a temporary folder (tests); on a cluster, whose executors have their own
+    disks, that raises an error.
+    """
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not found and not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
     if not found:
         found = f"file://{tempfile.mkdtemp(prefix='lexarbor-')}"
         spark.conf.set("spark.checkpoint.dir", found)

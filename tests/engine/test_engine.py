@@ -1,5 +1,6 @@
 """Micro fixtures for the pattern language, the readers and the measures."""
 
+import pytest
 from pyspark.sql import functions as F
 
 from lexarbor.functions.tags import decode_msd
@@ -8,10 +9,10 @@ from lexarbor.operators.matcher import match_structure
 from lexarbor.operators.wordfeats import common_features, common_tag
 from lexarbor.plans.report import Analysis, Config
 from lexarbor.plans.structures import parse_catalogue
-from lexarbor.queries import TOP, morph, pattern, sz_kh_words
-from lexarbor.sources.corpus import read_conllu, read_tei
-from lexarbor.sources.lexicon import build_lexicon, find_forms
-from lexarbor.sources.sinks import write_map, write_report
+from lexarbor.queries import EDGE, TOP, catalogue, morph, pattern, structure, sz_kh_words
+from lexarbor.sources.corpus import read_conllu, read_corpus, read_tei
+from lexarbor.sources.lexicon import build_lexicon, find_forms, find_lemma_tags
+from lexarbor.sources.sinks import as_text, write_map, write_report
 
 CONLLU = """# sent_id = s1
 1\tVelika\tvelik\tADJ\tAgpfsn\tCase=Nom|Gender=Fem\t2\tamod\t_\t_
@@ -112,3 +113,139 @@ def test_lexicon(spark):
     assert sorted((r["msd"], r["form"]) for r in lexicon.collect()) == [("Ncfsn", "a"), ("Ncfsn", "b"), ("Ncmsn", "c")]
     asked = spark.createDataFrame([("a", {"gender": "masculine"}), ("z", {})], "lemma string, need map<string,string>")
     assert sorted((r["lemma"], r["form"]) for r in find_forms(asked, lexicon).collect()) == [("a", "c"), ("z", None)]
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_patterns_are_matched_without_a_shuffle_or_join(spark):
+    docs = spark.createDataFrame([(1, "a b c"), (2, None)], "doc_id long, text string")
+    from lexarbor.operators.matcher import match_catalogue
+    from lexarbor.sources.corpus import documents_corpus
+
+    xml = catalogue(structure(TOP, "1 2 obj|obl|nsubj", "2 3 amod", "2 4 case", name="x"), structure(TOP, "1 2 amod", "1 3 case", name="y", status={"3": "forbidden"}))
+    plan = plan_of(match_catalogue(documents_corpus(docs), parse_catalogue(xml, statistics=False)))
+    assert "Exchange" not in plan and "Join" not in plan and plan.count("Scan") == 1
+
+
+def test_absent_optional_leaves_its_siblings(spark, tmp_path):
+    xml = pattern(TOP, "1 2 nsubj", "1 3 iobj", "1 4 obl", status={"3": "optional"})
+    assert lemmas(corpus(spark, tmp_path), xml, "1", "2", "3", "4") == [("stati", "hiša", None, "gora")]
+
+
+def test_crlf_and_odd_names(spark, tmp_path):
+    folder = tmp_path / "a b" / "c+d"
+    folder.mkdir(parents=True)
+    (folder / "x y.conllu").write_bytes(CONLLU.replace("\n", "\r\n").encode())
+    c = read_corpus(spark, str(tmp_path / "a b"))
+    assert c.sentences.count() == 2 and [r["form"] for r in c.tokens.where("NOT is_root").orderBy("sent_ix", "tok").collect()][-2:] == ["Mala", "hiša"]
+    assert {r["sentence_id"] for r in c.sentences.collect()} == {"s1"}
+
+
+def test_directories_of_both_formats(spark, tmp_path):
+    (tmp_path / "b.conllu").write_text(CONLLU)
+    (tmp_path / "a.xml").write_bytes(TEI)
+    (tmp_path / "c.conllup").write_text("# global.columns = ID FORM LEMMA UPOS XPOS FEATS HEAD DEPREL DEPS MISC NER\n" + CONLLU.replace("\t_\n", "\t_\tO\n"))
+    (tmp_path / "d.conllu.zstd").write_bytes(b"x")
+    c = read_corpus(spark, str(tmp_path))
+    assert [(r["file_ix"], r["n"]) for r in c.sentences.groupBy("file_ix").agg(F.count("*").alias("n")).orderBy("file_ix").collect()] == [(0, 1), (1, 2), (2, 2)]
+    found = match_structure(c, parse_catalogue(EDGE, statistics=False).structures[0])
+    assert found.count() == 5
+    (tmp_path / "e.doc").write_text("x")
+    with pytest.raises(ValueError, match="unknown corpus format"):
+        read_corpus(spark, str(tmp_path))
+
+
+def test_a_file_split_over_tasks_keeps_its_order(spark, tmp_path):
+    text = "".join(f"# sent_id = s{i}\n1\tw{i}\tw{i}\tNOUN\t_\t_\t0\troot\t_\t_\n\n" for i in range(500))
+    (tmp_path / "a.conllu").write_text(text)
+    was = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "2000")
+        c = read_conllu(spark, str(tmp_path / "a.conllu"))
+        assert c.sentences.rdd.getNumPartitions() > 5
+        assert [r["sentence_id"] for r in c.sentences.orderBy("file_ix", "sent_ix").collect()] == [f"s{i}" for i in range(500)]
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", was)
+
+
+JOS_CONLLU = """# sent_id = j1
+1\tlepa\tlep\tADJ\tAgpfsn\t_\t2\tAtr\t_\t_
+2\thiša\thiša\tNOUN\tNcfsn\t_\t0\tRoot\t_\t_
+3\t.\t.\tPUNCT\tZ\t_\t0\tRoot\t_\t_
+
+# sent_id = j2
+1\tlepi\tlep\tADJ\tAgpmsn\t_\t2\tAtr\t_\t_
+2\thiši\thiša\tNOUN\tNcfsl\t_\t0\tRoot\t_\t_
+
+"""
+
+
+def test_positional_system_end_to_end(spark, tmp_path):
+    (tmp_path / "j.conllu").write_text(JOS_CONLLU)
+    c = read_conllu(spark, str(tmp_path / "j.conllu"), ud=False, jos_labels="en")
+    assert c.edges.where("dep.msd = 'Z'").select("label").first()[0] == "modra"
+    noun, adjective = '<restriction type="morphology"><feature POS="noun"/><feature case="locative" filter="negative"/></restriction>', morph(POS="adjective", degree="positive")
+    assert lemmas(c, pattern(TOP, "1 2 dol", system="JOS", restrict={"1": noun, "2": adjective}), "1", "2") == [("hiša", "lep")]
+    show = {"1": '<feature rendition="word_form"/><feature selection="msd" case="genitive"/>', "2": '<feature rendition="lemma"/>'}
+    xml = parse_catalogue(pattern(TOP, "1 2 dol", system="JOS", restrict={"1": morph(POS="noun"), "2": adjective}, show=show))
+    plain = Analysis(c, xml).report.first()
+    assert (plain["C1_RF_scenario"], plain["C1_Representative_form"], plain["C2_RF_msd"], plain["Frequency"]) == ("lemma_fallback", "hiša", "Agpfsn", 2)
+    forms = spark.createDataFrame([("hiša", "Ncfsg", "hiše", 5), ("hiša", "Ncfsn", "hiša", 9), ("lep", "Agpmsn", "lep", 3)], "lemma string, msd string, form string, frequency long")
+    row = Analysis(c, xml, lexicon=build_lexicon(forms)).report.first()
+    assert (row["C1_RF_scenario"], row["C1_Representative_form"], row["C1_RF_msd"], row["C2_RF_msd"]) == ("ok", "hiše", "Ncfsg", "Agpmsn")
+
+
+def test_what_agrees_with_the_common_features_is_shown(spark, tmp_path):
+    """No tag of the head has a fitting adjective; what its tags share (the gender) has one."""
+    (tmp_path / "j.conllu").write_text(JOS_CONLLU.replace("Agpmsn", "Agpfpg").replace("Agpfsn", "Agpfdd"))
+    c = read_conllu(spark, str(tmp_path / "j.conllu"), ud=False, jos_labels="en")
+    show = {"1": '<feature rendition="word_form"/><feature selection="msd" case="dative"/>', "2": '<feature rendition="word_form"/><feature selection="agreement" msd="gender" head_cid="1"/>'}
+    row = Analysis(c, parse_catalogue(pattern(TOP, "1 2 dol", system="JOS", restrict={"1": morph(POS="noun"), "2": morph(POS="adjective")}, show=show))).report.first()
+    assert (row["C1_RF_scenario"], row["C2_RF_scenario"], row["C2_Representative_form"]) == ("lemma_fallback", "ok", "lepa")
+
+
+def test_numbers_are_rounded_as_exact_binary_values(spark):
+    numbers = [0.015625, 0.046875, 0.000025, 2.5, -0.000005, None]
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(numbers)], "i int, x double").orderBy("i")
+    assert [r[0] for r in df.select(as_text(df, ",")[1]).collect()] == ["" if x is None else ("%.5f" % x).replace(".", ",") for x in numbers]
+
+
+def test_a_file_for_each_structure(spark, tmp_path):
+    a = Analysis(corpus(spark, tmp_path), parse_catalogue(catalogue(structure(TOP, "1 2 amod", name="x"), structure(TOP, "1 2 nsubj", name="y"))))
+    write_report(a.report, str(tmp_path / "out"), per_structure=True)
+    write_map(a.map_rows(by_structure=True), str(tmp_path / "map"))
+    for name, n in (("x", 2), ("y", 1)):
+        files = list((tmp_path / "out" / f"structure={name}").glob("*.txt"))
+        lines = files[0].read_text().splitlines()
+        assert len(files) == 1 and len(lines) == n + 1 and lines[0].startswith("Structure_ID\t") and all(x.startswith(f"{name}\t") for x in lines[1:])
+        said = "".join(f.read_text() for f in (tmp_path / "map" / f"Structure_ID={name}").glob("*.csv")).splitlines()
+        assert len(said) == n + 1 and said[0] == "Collocation_id\tSentence_id\tToken_ids"
+
+
+def test_report_is_sorted_by_a_column(spark, tmp_path):
+    xml = parse_catalogue(pattern(TOP, "1 2 amod"))
+    names = [r["C2_Lemma"] for r in Analysis(corpus(spark, tmp_path), xml, Config(sort_by=6)).report.collect()]
+    back = [r["C2_Lemma"] for r in Analysis(corpus(spark, tmp_path), xml, Config(sort_by=6, sort_reversed=True)).report.collect()]
+    assert (names, back) == (["mali", "velik"], ["velik", "mali"])
+
+
+def test_lexicon_repairs_and_lemma_tags(spark):
+    forms = spark.createDataFrame([("a", "Rdn", "a", 1), ("a", "Rd", "b", 4), ("z", "Ncmsg", "zx", 2)], "lemma string, msd string, form string, frequency long")
+    lexicon = build_lexicon(forms)
+    assert {r["msd"] for r in lexicon.collect()} == {"Rd", "Ncmsg"}
+    asked = spark.createDataFrame([("a", {"case": "dative"}), ("z", {"case": "dative"}), ("y", {})], "lemma string, need map<string,string>")
+    assert sorted(r["lemma_msd"] or "" for r in find_lemma_tags(asked, lexicon).collect()) == ["", "Ncmsg", "Rd"]
+    assert sorted((r["lemma"], r["form"]) for r in find_forms(asked, lexicon, last_resort=True).collect()) == [("a", "a"), ("y", None), ("z", "zx")]
+
+
+def test_new_documents_are_counted_once(spark, tmp_path):
+    from lexarbor.streaming.ingest import count_new_documents, total_counts
+
+    schema = "doc_id long, text string"
+    for text in ("aa bb", "aa"):
+        spark.createDataFrame([(1, text)], schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        count_new_documents(spark, str(tmp_path / "in"), schema, str(tmp_path / "out"), str(tmp_path / "check")).awaitTermination()
+    got = total_counts(spark, str(tmp_path / "out")).groupBy("lemma").agg(F.sum("frequency").alias("n")).collect()
+    assert {r["lemma"]: r["n"] for r in got} == {"aa": 2, "bb": 1}
