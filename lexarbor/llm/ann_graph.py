@@ -4,8 +4,9 @@ The graph starts from exact neighbours inside blocks of rows that random hyperpl
 NN-descent joins each node's neighbours and reverse neighbours with their vectors, compares them with each other (they
 are neighbours of neighbours), and offers each the best it has met; nodes keep their best. Vectors of one direction are
 one node, so copies neither crowd a node's list nor meet in one task. All cosines are doubles of the original numbers and
-equal ones go by the lesser node, so near copies are told apart as finely as doubles can. A query starts at its own node and follows, hop by hop, the
-edges of the best nodes it has seen but not yet expanded.
+equal ones go by the lesser node, so near copies are told apart as finely as doubles can. A query starts at its own node
+and at a few that all queries share, and follows, hop by hop, the edges of the best nodes it has seen but not yet
+expanded, until none is left. A table of fewer rows than two blocks is one block, whose lists are exact.
 """
 
 from __future__ import annotations
@@ -19,8 +20,8 @@ from pyspark.sql import functions as F
 
 from .common import partitions, release, staged, table
 
-NEIGHBOURS, BLOCK, STARTS, ROUNDS, OFFERED, STILL = 32, 2048, 6, 4, 12, 0.04
-BEAM, EXPAND, HOPS, TOP = 128, 32, 5, 5
+NEIGHBOURS, BLOCK, STARTS, OFFERED, STILL = 32, 2048, 6, 12, 0.04
+BEAM, EXPAND, ENTRIES, TOP = 256, 64, 16, 5
 LISTS = "node long, others array<long>, sims array<double>"
 LISTS_ARROW = pa.schema([("node", pa.int64()), ("others", pa.list_(pa.int64())), ("sims", pa.list_(pa.float64()))])
 
@@ -71,8 +72,23 @@ def nodes_of(vectors: DataFrame, id_col: str, vector_col: str) -> tuple[DataFram
     return members, values.select("node", "packed")
 
 
-def _best(v: np.ndarray, nodes: np.ndarray, k: int, floors: np.ndarray | None = None) -> pa.RecordBatch:
-    """The k nodes of largest cosine with each node as lists, itself left out and those under its floor; equal ones go by the lesser node."""
+def _lists(nodes: np.ndarray, others: np.ndarray, sims: np.ndarray, k: int) -> pa.RecordBatch:
+    """The k best of what was offered to each node, best first; of equal ones the lesser node is the better."""
+    order = np.lexsort((others, nodes))
+    first = np.ones(len(order), bool)
+    first[1:] = (nodes[order][1:] != nodes[order][:-1]) | (others[order][1:] != others[order][:-1])
+    nodes, others, sims = nodes[order][first], others[order][first], sims[order][first]
+    order = np.lexsort((others, -sims, nodes))
+    nodes, others, sims = nodes[order], others[order], sims[order]
+    whose, start = np.unique(nodes, return_index=True)
+    size = np.diff(np.append(start, len(nodes)))
+    good = np.arange(len(nodes)) - np.repeat(start, size) < k
+    offsets = pa.array(np.concatenate([[0], np.cumsum(np.minimum(size, k))]).astype(np.int32))
+    return pa.RecordBatch.from_arrays([pa.array(whose), pa.ListArray.from_arrays(offsets, pa.array(others[good])), pa.ListArray.from_arrays(offsets, pa.array(sims[good]))], schema=LISTS_ARROW)
+
+
+def _best(v: np.ndarray, nodes: np.ndarray, k: int, floors: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(node, other, sim) of the k nodes of largest cosine with each node, itself left out and those under its floor; equal ones go by the lesser node."""
     order = np.argsort(nodes)
     v, nodes, floors = v[order], nodes[order], None if floors is None else floors[order]
     norms = np.sqrt(np.einsum("ij,ij->i", v, v))
@@ -80,40 +96,58 @@ def _best(v: np.ndarray, nodes: np.ndarray, k: int, floors: np.ndarray | None =
     sims /= np.outer(norms, norms)
     np.fill_diagonal(sims, -2)
     k = min(k, len(nodes) - 1)
-    at = np.argpartition(-sims, k - 1, axis=1)[:, :k] if k > 0 else np.empty((len(nodes), 0), np.int64)
-    if k > 0:
-        least = np.take_along_axis(sims, at, 1).min(1)
-        tied = np.flatnonzero(np.count_nonzero(sims >= least[:, None], axis=1) > k)
-        at[tied] = np.argsort(-sims[tied], axis=1, kind="stable")[:, :k]
+    if k <= 0:
+        return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)
+    at = np.argpartition(-sims, k - 1, axis=1)[:, :k]
+    least = np.take_along_axis(sims, at, 1).min(1)
+    tied = np.flatnonzero(np.count_nonzero(sims >= least[:, None], axis=1) > k)
+    at[tied] = np.argsort(-sims[tied], axis=1, kind="stable")[:, :k]
     values = np.take_along_axis(sims, at, 1)
     good = values >= (-2 if floors is None else floors[:, None])
-    offsets = pa.array(np.concatenate([[0], np.cumsum(good.sum(1))]).astype(np.int32))
-    return pa.RecordBatch.from_arrays([pa.array(nodes), pa.ListArray.from_arrays(offsets, pa.array(nodes[at][good])), pa.ListArray.from_arrays(offsets, pa.array(values[good]))], schema=LISTS_ARROW)
+    return np.repeat(nodes, good.sum(1)), nodes[at][good], values[good]
+
+
+class Offers:
+    """What a task has to offer, merged per node before it leaves the task: a hub, which is a neighbour of very many, gets a list from each buffer and not from each of them."""
+
+    def __init__(self, k: int, most: int = 1_000_000):
+        self.k, self.most, self.held, self.n = k, most, [], 0
+
+    def add(self, nodes: np.ndarray, others: np.ndarray, sims: np.ndarray) -> Iterator[pa.RecordBatch]:
+        self.held.append((nodes, others, sims))
+        self.n += len(nodes)
+        if self.n >= self.most:
+            yield from self.close()
+
+    def close(self) -> Iterator[pa.RecordBatch]:
+        if self.n:
+            yield _lists(*map(np.concatenate, zip(*self.held, strict=True)), self.k)
+        self.held, self.n = [], 0
 
 
 def _merged(offers: DataFrame, k: int) -> DataFrame:
-    """(node, others, sims) with the k best of all that was offered to a node, best first."""
+    """(node, others, sims) with the k best of all lists that were offered to a node, best first."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            others, sims = [], []
-            for a, b in zip(batch.column(1), batch.column(2), strict=True):
-                nodes, first = np.unique(a.values.flatten().to_numpy(), return_index=True)
-                values = b.values.flatten().to_numpy()[first]
-                best = np.lexsort((nodes, -values))[:k]
-                others.append(nodes[best])
-                sims.append(values[best])
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(others, pa.list_(pa.int64())), pa.array(sims, pa.list_(pa.float64()))], schema=LISTS_ARROW)
+            lists = batch.column(1).flatten()
+            per_list = lists.value_lengths().to_numpy()
+            nodes = np.repeat(np.repeat(batch.column(0).to_numpy(), batch.column(1).value_lengths().to_numpy()), per_list)
+            yield _lists(nodes, lists.flatten().to_numpy(), batch.column(2).flatten().flatten().to_numpy(), k)
 
     lists = offers.groupBy("node").agg(F.collect_list("others").alias("others"), F.collect_list("sims").alias("sims"))
     return lists.mapInArrow(run, LISTS)
 
 
 def first_graph(values: DataFrame, neighbours: int, starts: int, block: int) -> DataFrame:
-    """Exact neighbours inside blocks of rows in the order of their sides of 16 random hyperplanes, `starts` times."""
-    n = partitions(values.sparkSession)
+    """Exact neighbours inside blocks of rows in the order of their sides of 16 random hyperplanes, `starts` times.
+
+    The rows are dealt to as many tasks as they fill blocks, at most one for each shuffle partition, so that no block is
+    small for the number of partitions; a table of one block is exact.
+    """
+    n = max(1, min(partitions(values.sparkSession), values.count() // block))
     offers = None
-    for start in range(starts):
+    for start in range(starts if n > 1 else 1):
 
         def sides(batches: Iterator[pa.RecordBatch], seed: int = start) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -127,18 +161,20 @@ def first_graph(values: DataFrame, neighbours: int, starts: int, block: int) ->
         def inside(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             nodes, rows = [], []
 
-            def close() -> pa.RecordBatch:
-                return _best(_vectors(pa.array(rows, pa.binary())), np.array(nodes), neighbours)
+            def close(to: int) -> Iterator[pa.RecordBatch]:
+                ids = np.array(nodes[:to], np.int64)
+                if to == 1:
+                    yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array([[]], pa.list_(pa.int64())), pa.array([[]], pa.list_(pa.float64()))], schema=LISTS_ARROW)
+                elif to:
+                    yield _lists(*_best(_vectors(pa.array(rows[:to], pa.binary())), ids, neighbours), neighbours)
+                del nodes[:to], rows[:to]
 
             for batch in batches:
-                for node, packed in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                    nodes.append(node)
-                    rows.append(packed)
-                    if len(rows) == block:
-                        yield close()
-                        nodes, rows = [], []
-            if rows:
-                yield close()
+                nodes += batch.column(0).to_pylist()
+                rows += batch.column(1).to_pylist()
+                while len(nodes) >= 2 * block:
+                    yield from close(block)
+            yield from close(len(nodes))
 
         coded = values.select("node", "packed").mapInArrow(sides, "node long, packed binary, code long, along double")
         dealt = coded.repartitionByRange(n, "code", "along", "node").sortWithinPartitions("code", "along", "node").select("node", "packed")
@@ -162,18 +198,23 @@ def descend(graph: DataFrame, values: DataFrame, neighbours: int, offered: int)
     met = both_ways(graph, neighbours).join(own, "other").groupBy("node").agg(F.collect_list("other").alias("others"), F.collect_list("packed").alias("packed"), F.collect_list("floor").alias("floors"))
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        offers = Offers(neighbours)
         for batch in batches:
             for others, packed, floors in zip(*batch.columns[1:], strict=True):
-                yield _best(_vectors(packed.values), others.values.to_numpy(), offered, floors.values.to_numpy())
+                yield from offers.add(*_best(_vectors(packed.values), others.values.to_numpy(), offered, floors.values.to_numpy()))
+        yield from offers.close()
 
-    offers = met.mapInArrow(compare, LISTS).where(F.size("others") > 0)
+    offers = met.mapInArrow(compare, LISTS)
     return staged(_merged(offers.unionByName(graph), neighbours), "ann-graph")
 
 
-def neighbour_graph(values: DataFrame, *, neighbours: int = NEIGHBOURS, starts: int = STARTS, block: int = BLOCK, rounds: int = ROUNDS, offered: int = OFFERED, still: float = STILL) -> DataFrame:
-    """(node, others, sims) after NN-descent: until a round changes under `still` of the list entries, or `rounds` rounds."""
+def neighbour_graph(values: DataFrame, *, neighbours: int = NEIGHBOURS, starts: int = STARTS, block: int = BLOCK, offered: int = OFFERED, still: float = STILL) -> DataFrame:
+    """(node, others, sims) after NN-descent: until a round changes under `still` of the list entries.
+
+    A list only ever gets better, so the rounds end at every table size. A table of one block needs none.
+    """
     graph = first_graph(values, neighbours, starts, block)
-    for _ in range(rounds):
+    while values.count() >= 2 * block:
         after = descend(graph, values, neighbours, offered)
         change = graph.select("node", F.col("others").alias("was")).join(after.select("node", F.col("others").alias("now")), "node")
         new, total = change.select(F.sum(F.size(F.array_except("now", "was"))), F.sum(F.size("now"))).first()
@@ -184,14 +225,22 @@ def neighbour_graph(values: DataFrame, *, neighbours: int = NEIGHBOURS, starts:
     return graph
 
 
-def greedy_search(starts: DataFrame, graph: DataFrame, values: DataFrame, *, neighbours: int = NEIGHBOURS, beam: int = BEAM, expand: int = EXPAND, hops: int = HOPS) -> DataFrame:
-    """(query, seen) of start nodes (query, packed): the beam best (minus, node) that a walk from each query's own node has met; minus is the negative cosine.
+def entry_nodes(values: DataFrame, entries: int) -> tuple[np.ndarray, list[bytes]]:
+    """(nodes, packed) of the `entries` nodes that hash lowest, where every walk starts besides its own node."""
+    rows = values.select("node", "packed").orderBy(F.xxhash64("node"), "node").limit(entries).collect()
+    return np.array([r["node"] for r in rows], np.int64), [bytes(r["packed"]) for r in rows]
+
 
-    query is a node of the graph. In a hop the best `expand` nodes of the beam that were not expanded yet are; the walk
-    ends when none is left anywhere or after `hops` hops. Of equal cosines the lesser node is the better one.
+def greedy_search(starts: DataFrame, graph: DataFrame, values: DataFrame, *, neighbours: int = NEIGHBOURS, beam: int = BEAM, expand: int = EXPAND, entries: int = ENTRIES) -> DataFrame:
+    """(query, seen) of start nodes (query, packed): the beam best (minus, node) that a walk has met; minus is the negative cosine.
+
+    query is a node of the graph. A walk starts at its own node and at `entries` nodes common to all, so it leaves a
+    part of the graph that is not linked to the rest. In a hop the best `expand` nodes of the beam that were not expanded
+    yet are; it ends when its beam has none left. Of equal cosines the lesser node is the better one.
     """
     edges = staged(both_ways(graph, neighbours).groupBy("node").agg(F.collect_list("other").alias("others")), "ann-edges")
     item = "array<struct<minus:double,node:long,done:boolean>>"
+    common, their = entry_nodes(values, entries)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -199,11 +248,19 @@ def greedy_search(starts: DataFrame, graph: DataFrame, values: DataFrame, *, nei
                 minus = 0.0 - _cosines(_vectors(batch.column(2)), _vectors(batch.column(3)))
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(minus)], names=["query", "node", "minus"])
 
+    def enter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            own, query = _vectors(batch.column(1)), batch.column(0).to_numpy()
+            for node, packed in [(query, own), *((np.full(len(own), n), np.repeat(_vectors(pa.array([p], pa.binary())), len(own), 0)) for n, p in zip(common, their, strict=True))]:
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(node), pa.array(0.0 - _cosines(own, packed))], names=["query", "node", "minus"])
+
     scores = "query long, node long, minus double"
-    own = starts.select("query", F.col("query").alias("node"), "packed", F.col("packed").alias("their")).mapInArrow(score, scores)
-    first = own.select("query", F.array(F.struct("minus", "node", F.lit(False).alias("done"))).cast(item).alias("seen"))
+    seen = F.collect_set(F.struct("minus", "node", F.lit(False).alias("done")))
+    first = starts.select("query", "packed").mapInArrow(enter, scores).groupBy("query", "node").agg(F.min("minus").alias("minus")).groupBy("query").agg(F.sort_array(seen).cast(item).alias("seen"))
     state = staged(starts.join(first, "query").select("query", "packed", "seen"), "ann-state")
-    for _ in range(hops):
+    while True:
         open_ = state.select("query", "packed", "seen", F.slice(F.filter("seen", lambda x: ~x["done"]), 1, expand).alias("next"))
         if open_.where(F.size("next") > 0).isEmpty():
             break
@@ -230,7 +287,7 @@ def nearest(vectors: DataFrame, is_query, *, id_col: str = "vec_id", vector_col:
     graph = neighbour_graph(values, **graph_options)
     queries = members.where(is_query(F.col("vec_id"))).select(F.col("vec_id").alias("query_id"), F.col("node").alias("query"))
     asked = queries.select("query").distinct().join(values.select(F.col("node").alias("query"), "packed"), "query")
-    found = greedy_search(asked, graph, values, beam=max(beam, top + 1))
+    found = greedy_search(asked, graph, values, beam=max(beam, top + 1), entries=max(ENTRIES, top + 1))
     scored = found.select("query", F.explode("seen").alias("x")).select("query", F.col("x.node").alias("node"), (F.lit(0.0) - F.col("x.minus")).alias("score"))
     least = F.row_number().over(Window.partitionBy("node").orderBy("vec_id"))
     firsts = members.withColumn("n", least).where(F.col("n") <= top + 1).select("node", "vec_id")

@@ -220,3 +220,57 @@ def test_nearest_in_a_group_of_near_copies(spark):
         sims[q] = -2
         hits += len(got[q] & set(np.lexsort((np.arange(1750), -sims))[:5].tolist()))
     assert hits >= 0.98 * 5 * len(range(0, 1750, 20))
+
+
+def nearest_by_hand(vectors, query, top=5):
+    unit = vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
+    sims = np.round(unit @ unit[query], 13)
+    sims[query] = -2
+    return np.lexsort((np.arange(len(vectors)), -sims))[: min(top, len(vectors) - 1)].tolist()
+
+
+@pytest.mark.parametrize("partitions", ["1", "16", "200"])
+def test_nearest_of_small_tables_is_whole_and_exact(spark, partitions):
+    rng, was = np.random.default_rng(5), spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", partitions)
+    try:
+        for n in (0, 1, 5, 13, 200) if partitions == "16" else (13,):
+            vectors = rng.standard_normal((n, 8))
+            frame = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vectors)], "vec_id long, embedding array<double>")
+            rows = ann_graph.nearest(frame, lambda i: i % 50 == 0).orderBy("query_id", "rank").collect()
+            got = {q: [(r["rank"], r["vec_id"]) for r in rows if r["query_id"] == q] for q in range(0, n, 50)}
+            assert got == {q: list(enumerate(nearest_by_hand(vectors, q), 1)) for q in range(0, n, 50)}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", was)
+
+
+def test_nearest_over_many_blocks_and_parts_without_links(spark):
+    """4,000 rows in 60 blocks, in 40 far clusters of 4 rows (fewer than answers) and one of the rest: the graph falls apart."""
+    rng = np.random.default_rng(6)
+    far = np.repeat(rng.standard_normal((40, 24)) * 10, 4, 0) + 0.01 * rng.standard_normal((160, 24))
+    vectors = np.concatenate([far, rng.standard_normal((3840, 24))])[rng.permutation(4000)]
+    frame = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vectors)], "vec_id long, embedding array<double>")
+    got = {}
+    for r in ann_graph.nearest(frame, lambda i: i % 50 == 0, block=64, neighbours=8, starts=2).collect():
+        got.setdefault(r["query_id"], []).append(r["vec_id"])
+    assert all(len(x) == 5 for x in got.values()) and len(got) == 80
+    assert sum(len(set(x) & set(nearest_by_hand(vectors, q))) for q, x in got.items()) >= 0.95 * 5 * len(got)
+
+
+def test_nearest_with_repeated_ids_hubs_and_clashing_columns(spark):
+    """Rows around one row, a hub of the graph; an id that comes twice and a null id."""
+    rng = np.random.default_rng(8)
+    around = rng.standard_normal((600, 16))
+    vectors = np.concatenate([np.ones((1, 16)), np.ones((600, 16)) + 0.5 * around])
+    rows = [(i, v.tolist(), i, 0.0) for i, v in enumerate(vectors)] + [(3, vectors[3].tolist(), 3, 0.0), (None, vectors[4].tolist(), 4, 0.0)]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>, node long, score double")
+    got = {}
+    for r in ann_graph.nearest(frame, lambda i: i % 100 == 0, block=50).collect():
+        got.setdefault(r["query_id"], []).append(r["vec_id"])
+    assert sum(len(set(x) & set(nearest_by_hand(vectors, q))) for q, x in got.items()) >= 0.95 * 35
+
+
+def test_offers_are_merged_inside_the_task():
+    offers = ann_graph.Offers(2, most=6)
+    out = list(offers.add(np.array([1, 1, 1]), np.array([5, 6, 7]), np.array([0.5, 0.9, 0.9]))) + list(offers.add(np.array([1, 2, 1]), np.array([6, 1, 8]), np.array([0.9, 0.1, 1.0]))) + list(offers.close())
+    assert [b.to_pylist() for b in out] == [[{"node": 1, "others": [8, 6], "sims": [1.0, 0.9]}, {"node": 2, "others": [1], "sims": [0.1]}]]
