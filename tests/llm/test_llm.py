@@ -89,10 +89,72 @@ def test_language_id(spark):
     assert {r["lang_pred"] for r in language_id.predict(frame, empty).collect()} == {"und"}
 
 
+PROSE = " ".join(f"word{i}" for i in range(30))
+
+
 def test_html():
     page = "<nav><a href=x>menu</a></nav><article><h1>A &amp; B</h1><p>one<br>two <b>three</b></article><script>var x = '<p>no</p>'</script><div class='comments'><p>said someone with many words here</p></div>"
     assert html_extract.main_text(page) == "A & B one two three"
-    assert html_extract.main_text(None) == html_extract.main_text("") == html_extract.main_text("<p") == ""
+    assert html_extract.main_text(None) == html_extract.main_text("") == html_extract.main_text("<p") == html_extract.main_text("<!-- a") == ""
+
+
+@pytest.mark.parametrize("page", [
+    f'<div class="content has-sidebar"><p>{PROSE}</p></div>', f'<div class="no-sidebar"><article>{PROSE}</article></div>', f'<div class="post-content social-enabled"><p>{PROSE}</p></div>',
+    f'<article><div class="legal text">{PROSE}</div></article>', f"<article data-u=http://x/><p>{PROSE}</p></article>", f'<article><p title="5" tall">{PROSE}</p></article>', f'<article><p title="the hidden gem">{PROSE}</p></article>',
+    f'<article><p><span class="ad">buy</span> {PROSE} <b style="display: none">x <b>y</b></b></p></article>', f"<html><head><title>t</title><body><article><!--><p>{PROSE}</article>", f"<article></section></i><div/><p>{PROSE}</article>",
+    f'<body class="home sidebar"><div id=wrap><div id=content><p>{PROSE}</p></div></div>', f"<article><p>{PROSE}</p><aside>x</aside><form>y</form><div class=newsletter>z</div></article><div role=complementary><p>{PROSE}</p></div>",
+    f"<article><style>p</p>{{}}</style><svg><path d=1 /><text>no</text></svg><p>{PROSE}</p><textarea></p>no</textarea></article>", f"<a href=/>home</a><p>{PROSE}</p><a href=x>imprint</a>",
+])
+def test_html_of_odd_pages(page):
+    assert html_extract.main_text(page) == PROSE
+
+
+def test_html_learns_from_words_and_links_where_nothing_is_named():
+    links, more = "<div><a href=x>one</a> <a href=x>two words</a></div>", " ".join(["again"] * 40)
+    assert html_extract.main_text(f"{links}<h1>The title</h1><p>{PROSE}</p><p>Tiny one.</p><p>{more}</p>{links}") == f"The title {PROSE} Tiny one. {more}"
+    tree = html_extract.content_tree()
+    row = html_extract.features(html_extract.blocks(f"<div>{PROSE}</div><div><a href=x>{PROSE}</a></div>"))
+    assert tree.says(row[0]) and not tree.says(row[1])
+    rows, labels = html_extract.labelled_table()
+    assert np.mean([tree.says(r) == x for r, x in zip(rows.tolist(), labels, strict=True)]) > 0.98
+
+
+def test_html_keeps_every_block_of_an_article_at_any_length():
+    for n in (1, 3, 10, 40, 200):
+        for m in (1, 4, 18, 90):
+            a, b = " ".join(["a"] * n), " ".join(["b"] * m)
+            for inside in (f"<p>{a}</p><ul><li>{b}</li></ul>", f"<div>{a}</div><div>{b}</div>", f"<p><a href=x>{a}</a></p><p><a href=x>{b}</a></p>", f"<table><tr><td>{a}<td>{b}</table>"):
+                for page in (f"<article>{inside}</article>", f"<nav><a href=x>x</a></nav><div class=ad>x x</div><main>{inside}</main><footer>x x x</footer>"):
+                    assert html_extract.main_text(page) == f"{a} {b}"
+
+
+def test_html_of_deep_and_long_pages():
+    assert html_extract.main_text("<article>" + "<div>a" * 20_000 + "<p>" * 20_000 + "</b>" * 20_000).split() == ["a"] * 20_000
+    assert len(html_extract.main_text(f"<article>{'<p title=' * 20_000}>{PROSE * 10_000}")) == len(PROSE) * 10_000
+
+
+def test_html_table(spark):
+    page = f"<article><p>{PROSE}</p></article>"
+    frame = spark.createDataFrame([(1, "u", page, "t", 5), (1, "u", page, "t", 5), (2, None, None, None, None), (None, "v", "", "x", 1), (3, "w", "\u00e9&eacute;&#x1F600;", "x", 1)], "page_id long, url string, html string, text string, n_chars long")
+    rows = sorted(((r["page_id"] or 0, r["url"] or "", r["text"], r["n_chars"]) for r in html_extract.extract(frame).collect()))
+    assert rows == [(0, "v", "", 0), (1, "u", PROSE, len(PROSE)), (1, "u", PROSE, len(PROSE)), (2, "", "", 0), (3, "w", "\u00e9\u00e9\U0001f600", 3)]
+    empty = html_extract.extract(frame.limit(0))
+    assert empty.count() == 0 and empty.columns == ["page_id", "url", "text", "n_chars"]
+
+
+def test_html_finds_planted_articles(spark):
+    """Pages made of shuffled surroundings and an article; what comes out is the article as it was planted."""
+    rng, pages = np.random.default_rng(4), []
+    words = lambda n: " ".join(f"w{rng.integers(1000)}" for _ in range(n))
+    around = [lambda: f"<nav><ul><li><a href=x>{words(2)}</a></li></ul></nav>", lambda: f"<div class='ad-slot'>{words(12)}</div>", lambda: f"<footer>{words(15)}</footer>", lambda: f"<aside><p>{words(40)}</p></aside>", lambda: f"<section class=comments><p>{words(60)}</p></section>", lambda: f"<form><p>{words(9)}</p></form>", lambda: f"<div id=cookie-banner>{words(20)}</div>", lambda: f"<script>{words(9)}</script>", lambda: f"<!-- {words(5)} -->"]
+    for i in range(200):
+        parts = [words(n) for n in rng.integers(1, 60, rng.integers(1, 7))]
+        inner = "".join(rng.choice(["<p>{}</p>", "<div>{}</div>", "<li>{}</li>", "<h2>{}</h2>"]).replace("{}", x) for x in parts)
+        before, after = ("".join(around[k]() for k in rng.permutation(len(around))[:4]) for _ in range(2))
+        outer = rng.choice(["<article>{}</article>", "<main class=no-sidebar>{}</main>", "<div class=post-content>{}</div>", "<div class='has-sidebar'><article>{}</article></div>"])
+        pages.append((i, f"<body>{before}{outer.replace('{}', inner)}{after}</body>", " ".join(parts)))
+    got = {r["page_id"]: r["text"] for r in html_extract.extract(spark.createDataFrame([(i, "u", h) for i, h, _ in pages], "page_id long, url string, html string")).collect()}
+    assert [i for i, _, want in pages if got[i] != want] == []
 
 
 def test_quality():
