@@ -21,9 +21,10 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def random_key(doc_id: Column) -> Column:
-    """60 bits of the id's MD5; a null id has the key of the empty text."""
-    return F.conv(F.substring(F.md5(F.coalesce(doc_id.cast("string"), F.lit(""))), 1, 15), 16, 10).cast("long")
+def random_key(*columns: Column) -> Column:
+    """60 bits of the MD5 of the columns as text, nulls as empty texts."""
+    parts = [F.coalesce(c.cast("string"), F.lit("")) for c in columns]
+    return F.conv(F.substring(F.md5(F.concat_ws("\x1f", *parts)), 1, 15), 16, 10).cast("long")
 
 
 def source_targets(sizes: DataFrame, weights: tuple[int, ...], max_repeat: int) -> DataFrame:
@@ -56,11 +57,11 @@ def _crossing(rows: DataFrame, cuts: DataFrame, shift: int) -> DataFrame:
 
 
 def source_cuts(sizes: DataFrame, weights: tuple[int, ...] = (1, 2, 3), max_repeat: int = 3) -> DataFrame:
-    """(cut_source, source_size, target, epochs, cut_key) of slim rows (source, size, key).
+    """(cut_source, source_size, target, epochs, cut_key, tied, extra) of slim rows (source, size, key).
 
-    A document is taken `epochs` times, and once more if its key is at most cut_key. Documents of one key stand or fall
-    together, and are taken if half of them fit into what is left, so that a source misses its target by at most half of
-    its last document. An empty source and a target of 0 have 0 epochs and no cut_key.
+    A document is taken `epochs` times, and once more if its key is below cut_key; of the `tied` rows that have cut_key,
+    which are alike, `extra` are taken once more. A row is taken if half of it fits into what is left, so a source misses
+    its target by at most half of one document, however many rows are alike. An empty source has 0 epochs and no cut_key.
     """
     targets = staged(source_targets(sizes, weights, max_repeat), "mix-targets")
     epochs = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0)
@@ -71,37 +72,56 @@ def source_cuts(sizes: DataFrame, weights: tuple[int, ...] = (1, 2, 3), max_repe
     shift = KEY_BITS - 2 * RANGE_BITS
     cuts = staged(cuts, "mix-ranges")
     last = sizes.join(cuts, sizes["source"].eqNullSafe(cuts["cut_source"])).where(F.shiftright("key", shift) == F.col("range"))
-    keys = last.groupBy("cut_source", "left", "key").agg(F.sum("size").alias("here"))
+    keys = last.groupBy("cut_source", "left", "key").agg(F.sum("size").alias("here"), F.count("*").alias("tied"))
     upto = F.sum("here").over(Window.partitionBy("cut_source").orderBy("key"))
-    fitting = keys.withColumn("upto", upto).where(F.col("upto") - F.col("here") / 2 <= F.col("left"))
-    found = fitting.groupBy("cut_source").agg(F.max("key").alias("found"))
-    lowest = F.shiftleft("range", shift) - 1
-    exact = cuts.alias("c").join(found.alias("f"), F.col("c.cut_source").eqNullSafe(F.col("f.cut_source")), "left").select(F.col("c.cut_source").alias("s"), F.coalesce("found", lowest).alias("cut_key"))
+    crossing = keys.withColumn("upto", upto).where(F.col("upto") > F.col("left"))
+    first = crossing.groupBy("cut_source").agg(F.min_by(F.struct("key", "tied", "here", "left", "upto"), "key").alias("x"))
+    fits = F.floor((F.col("x.left") - (F.col("x.upto") - F.col("x.here"))) * F.col("x.tied") / F.col("x.here") + 0.5)
+    exact = first.select(F.col("cut_source").alias("s"), F.col("x.key").alias("cut_key"), F.col("x.tied").alias("tied"), F.greatest(F.lit(0), F.least(fits, F.col("x.tied"))).cast("long").alias("extra"))
     return budgets.join(exact, budgets["cut_source"].eqNullSafe(exact["s"]), "left").drop("s")
 
 
+def _times(rows: DataFrame, n: Column, name: str, chunk: int = 65_536) -> DataFrame:
+    """Each row n times with its number from 1 on: a row that comes very often is dealt out in chunks first."""
+    dealt = rows.withColumn("__n", n).where("__n > 0").withColumn("__from", F.explode(F.sequence(F.lit(1), F.col("__n"), F.lit(chunk).cast("long")))).repartition("__from")
+    return dealt.withColumn(name, F.explode(F.sequence("__from", F.least(F.col("__from") + chunk - 1, F.col("__n"))))).drop("__n", "__from")
+
+
 def mix_sources(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), max_repeat: int = 3, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """(doc_id, source, size, source_size, target, taken): a row per input row.
 
-    size is the number of words (null text: 0, taken 0). Null sources form one source. Rows that share an id share a key
-    and so a fate within their source. Empty input gives no rows; other columns of docs are not read.
+    size is the number of words (null text: 0, taken 0). Null sources form one source. The key is one of id and text;
+    rows of one source alike in both are cut by their number. Empty input gives no rows; other columns are not read.
     """
-    slim = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"), random_key(F.col(id_col)).alias("key"))
+    slim = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"), random_key(F.col(id_col), F.col(text_col)).alias("key"))
     sizes = staged(slim, "mix-sizes")
     cuts = staged(source_cuts(sizes, weights, max_repeat), "mix-cuts")
-    copies = F.col("epochs") + F.coalesce((F.col("key") <= F.col("cut_key")).cast("long"), F.lit(0))
-    return sizes.join(cuts, sizes["source"].eqNullSafe(cuts["cut_source"])).select("doc_id", "source", "size", "source_size", "target", (F.col("size") * copies).alias("taken"))
+    rows = sizes.join(cuts, sizes["source"].eqNullSafe(cuts["cut_source"]))
+    many = F.coalesce((F.col("key") == F.col("cut_key")) & (F.col("tied") > 1), F.lit(False))
+    copies = F.col("epochs") + F.coalesce((F.col("key") < F.col("cut_key")).cast("long"), F.lit(0)) + F.when(F.col("key") == F.col("cut_key"), F.col("extra")).otherwise(0)
+    out = ["doc_id", "source", "size", "source_size", "target"]
+    single = rows.where(~many).select(*out, (F.col("size") * copies).alias("taken"))
+    alike = rows.where(many).groupBy(*out, "epochs", "extra").agg(F.count("*").alias("n"))
+    numbered = _times(alike, F.col("n"), "i").select(*out, (F.col("size") * (F.col("epochs") + (F.col("i") <= F.col("extra")).cast("long"))).alias("taken"))
+    return single.unionByName(numbered)
 
 
-def mixed_documents(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), max_repeat: int = 3, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """The rows of docs that the mix takes, each as often as it is taken, with all their columns. Rows without words are not taken."""
-    slim = docs.select(F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"), random_key(F.col(id_col)).alias("key"))
+def mixed_documents(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), max_repeat: int = 3, *, text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """The rows of docs that the mix takes, each as often as it is taken, with all their columns. Rows without words are not taken.
+
+    The key is one of all columns, so rows of one key are alike in all of them.
+    """
+    key = random_key(*map(F.col, docs.columns))
+    slim = docs.select(F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"), key.alias("key"))
     cuts = staged(source_cuts(staged(slim, "mix-sizes"), weights, max_repeat), "mix-cuts")
-    cuts = cuts.select(F.struct("cut_source", "epochs", "cut_key").alias("__cut"))
-    copies = F.col("__cut.epochs") + F.coalesce((random_key(F.col(id_col)) <= F.col("__cut.cut_key")).cast("long"), F.lit(0))
-    rows = docs.join(cuts, docs[source_col].eqNullSafe(F.col("__cut.cut_source"))).withColumn("__copies", copies.cast("int"))
-    rows = rows.where((F.col("__copies") > 0) & F.col(text_col).rlike(WORD))
-    return rows.withColumn("__copy", F.explode(F.array_repeat(F.lit(1), F.col("__copies")))).select(*docs.columns)
+    cuts = cuts.select(F.struct("cut_source", "epochs", "cut_key", "tied", "extra").alias("__cut"))
+    rows = docs.join(cuts, docs[source_col].eqNullSafe(F.col("__cut.cut_source"))).where(F.col(text_col).rlike(WORD)).withColumn("__key", key)
+    many = F.coalesce((F.col("__key") == F.col("__cut.cut_key")) & (F.col("__cut.tied") > 1), F.lit(False))
+    copies = F.col("__cut.epochs") + F.coalesce((F.col("__key") < F.col("__cut.cut_key")).cast("long"), F.lit(0)) + F.when(F.col("__key") == F.col("__cut.cut_key"), F.col("__cut.extra")).otherwise(0)
+    single = rows.where(~many).withColumn("__copy", F.explode(F.array_repeat(F.lit(1), copies.cast("int"))))
+    alike = rows.where(many).groupBy(*docs.columns, "__cut").agg(F.count("*").alias("__rows"))
+    numbered = _times(alike, F.col("__rows") * F.col("__cut.epochs") + F.col("__cut.extra"), "__copy")
+    return single.select(*docs.columns).unionByName(numbered.select(*docs.columns))
 
 
 def op1_mix(spark, sf_dir: str) -> DataFrame:
@@ -112,7 +132,7 @@ def op1_mix(spark, sf_dir: str) -> DataFrame:
 OP1_SQL = r"""
 WITH sizes AS (
     SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size,
-           CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '')), 1, 15) AS BIGINT) AS key
+           CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '') || chr(31) || coalesce(text, '')), 1, 15) AS BIGINT) AS key
     FROM documents),
 per_source AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM sizes GROUP BY source),
 weighed AS (
@@ -126,9 +146,9 @@ targets AS (SELECT source, source_size, least(CAST(cap AS DOUBLE), weight * max(
 budgets AS (SELECT *, CASE WHEN source_size > 0 THEN CAST(floor(target / source_size) AS BIGINT) ELSE 0 END AS epochs FROM targets),
 placed AS (
     SELECT s.doc_id, s.size, b.source_size, b.target, b.epochs, b.target - b.epochs * b.source_size AS rest,
-           sum(s.size) OVER (PARTITION BY s.source ORDER BY s.key) AS upto, sum(s.size) OVER (PARTITION BY s.source, s.key) AS here
+           sum(s.size) OVER (PARTITION BY s.source ORDER BY s.key ROWS UNBOUNDED PRECEDING) AS upto
     FROM sizes s JOIN budgets b ON s.source IS NOT DISTINCT FROM b.source)
 SELECT doc_id, size, source_size, target,
-       CAST(size * (epochs + CASE WHEN upto - here / 2 <= rest THEN 1 ELSE 0 END) AS BIGINT) AS taken
+       CAST(size * (epochs + CASE WHEN upto - size / 2 <= rest THEN 1 ELSE 0 END) AS BIGINT) AS taken
 FROM placed
 """

@@ -336,3 +336,52 @@ def test_offers_are_merged_inside_the_task():
     offers = ann_graph.Offers(2, most=6)
     out = list(offers.add(np.array([1, 1, 1]), np.array([5, 6, 7]), np.array([0.5, 0.9, 0.9]))) + list(offers.add(np.array([1, 2, 1]), np.array([6, 1, 8]), np.array([0.9, 0.1, 1.0]))) + list(offers.close())
     assert [b.to_pylist() for b in out] == [[{"node": 1, "others": [8, 6], "sims": [1.0, 0.9]}, {"node": 2, "others": [1], "sims": [0.1]}]]
+
+
+def mixed_by_hand(rows, weights=(1, 2, 3), most=3):
+    """(taken words, target) by source for rows (source, words), by a plain loop over the resharing."""
+    sizes = {}
+    for source, n in rows:
+        sizes[source] = sizes.get(source, 0) + n
+    order = sorted(sizes, key=lambda s: (s is None, s))
+    weight = {s: weights[i % len(weights)] for i, s in enumerate(order)}
+    targets, free, left = {}, list(order), sum(sizes.values())
+    while free:
+        share = {s: left * weight[s] / sum(weight[x] for x in free) for s in free}
+        over = [s for s in free if share[s] > most * sizes[s]]
+        if not over:
+            targets |= share
+            break
+        for s in over:
+            targets[s] = most * sizes[s]
+            left -= targets[s]
+            free.remove(s)
+    return sizes, targets
+
+
+@pytest.mark.parametrize("name", ["shared id", "alike", "reshared", "huge", "empty"])
+def test_mixing_meets_the_targets_by_hand(spark, name):
+    words = lambda n: " ".join(["w"] * n)
+    rows = {
+        "shared id": [(None, words(1 + i % 9), "a" if i < 60 else "b") for i in range(90)],
+        "alike": [(7, words(5), "a")] * 60 + [(7, words(5), "b")] * 31 + [(8, words(3), None)] * 40,
+        "reshared": [(i, words(4), "a" if i < 200 else "b" if i < 203 else "c" if i < 208 else None) for i in range(212)],
+        "huge": [(1, words(5000), "a")] + [(i, words(2), "b") for i in range(2, 400)],
+        "empty": [(1, None, "a"), (2, "", "a"), (3, " \n", None)],
+    }[name]
+    frame = spark.createDataFrame([(*r, 1, 2) for r in rows], "doc_id long, text string, source string, key long, size long")
+    out = mixing.mix_sources(frame).collect()
+    sizes, targets = mixed_by_hand([(s, len((t or "").split())) for _, t, s in rows])
+    assert len(out) == len(rows) and all(r["taken"] % max(1, r["size"]) == 0 and r["taken"] <= 3 * r["size"] for r in out)
+    most = {s: max(len((t or "").split()) for _, t, x in rows if x == s) for s in sizes}
+    for source in sizes:
+        own = [r for r in out if r["source"] == source]
+        assert all(abs(r["target"] - targets[source]) < 1e-6 and r["source_size"] == sizes[source] for r in own)
+        assert abs(sum(r["taken"] for r in own) - targets[source]) <= most[source] / 2 + 1e-6
+    again = mixing.mix_sources(frame.repartition(3)).collect()
+    key = lambda r: tuple(str(x) for x in r)
+    assert sorted(out, key=key) == sorted(again, key=key)
+    taken = mixing.mixed_documents(frame).groupBy("source").agg(F.sum(mixing.word_count(F.col("text"))).alias("n")).collect()
+    for r in taken:
+        assert abs(r["n"] - targets[r["source"]]) <= most[r["source"]] / 2 + 1e-6
+    assert {r["source"] for r in taken} == {s for s in sizes if targets[s] >= most[s] / 2 and targets[s] > 0}
