@@ -4,7 +4,8 @@ The kernel of two texts counts the distinct n-grams of 1 to 3 code points that b
 of their own counts (blended-spectrum presence kernel). Texts are mapped to their kernels with landmark texts (Nyström),
 and a kernel ridge regression per language (one versus the rest) is fitted there. As the kernel is linear in the
 presence of n-grams, landmarks, Nyström map and regression fold into one matrix of landmark n-grams by languages, and
-scoring is a product of it with a batch's presence matrix.
+scoring is its product with a batch's presence matrix, which is sparse: the rows of the n-grams that are present are
+summed, so a text costs what it holds and not what the vocabulary does.
 """
 
 from __future__ import annotations
@@ -24,6 +25,10 @@ from .common import table
 N_MAX = 3
 #: Bounds of the fit: labelled texts per language, landmarks among them, and code points of a text that it may learn from.
 TRAIN_PER_LANG, LANDMARKS_PER_LANG, TRAIN_CHARS = 300, 60, 20_000
+#: Bound of the model and so of its broadcast; more languages raise an error.
+MAX_LANGUAGES = 200
+#: Numbers of the model that are gathered at once.
+GATHERED = 1 << 22
 RIDGE = 0.05
 BATCH = 64
 PIECE = 500_000
@@ -54,18 +59,22 @@ class LanguageModel:
 
     def scores(self, batch: list[np.ndarray]) -> np.ndarray:
         """A row per text: its regression values. batch: the n-grams of each."""
-        present = np.zeros((len(batch), len(self.vocabulary)), np.float32)
-        for row, own in zip(present, batch, strict=True):
+        out, step = np.zeros((len(batch), len(self.languages))), max(1, GATHERED // max(1, len(self.languages)))
+        for row, own in zip(out, batch, strict=True):
             at = np.searchsorted(self.vocabulary, own)
             at[at == len(self.vocabulary)] = 0
-            row[at[self.vocabulary[at] == own]] = 1
+            at = at[self.vocabulary[at] == own]
+            for start in range(0, len(at), step):
+                row += self.weights[at[start : start + step]].sum(0, dtype=float)
         norms = np.sqrt(np.maximum([len(x) for x in batch], 1))
-        return (present @ self.weights) / norms[:, None]
+        return out / norms[:, None]
 
 
 def fit(texts: list[str], labels: list[str], landmarks_per_lang: int = LANDMARKS_PER_LANG, ridge: float = RIDGE) -> LanguageModel:
     """texts in a fixed order; the first landmarks_per_lang of each language are the landmarks. No texts: a model without languages."""
     languages = sorted(set(labels))
+    if len(languages) > MAX_LANGUAGES:
+        raise ValueError(f"{len(languages)} languages; the model is bounded to {MAX_LANGUAGES}")
     if not languages:
         return LanguageModel([], np.zeros(1, np.uint64), np.zeros((1, 0), np.float32))
     own = [grams(t) for t in texts]
@@ -125,8 +134,9 @@ def predict(docs: DataFrame, model: LanguageModel, *, text_col: str = "text", la
         own = held.value
         for batch in batches:
             lang, score = ["und"] * batch.num_rows, [0.0] * batch.num_rows
+            column = batch.column(0).field(place)
             for chunk in batched(range(batch.num_rows if own.languages else 0), BATCH):
-                texts = {i: t for i in chunk if (t := batch.column(1)[i].as_py()) is not None and LETTER.search(t)}
+                texts = {i: t for i in chunk if (t := column[i].as_py()) is not None and LETTER.search(t)}
                 if not texts:
                     continue
                 values = own.scores([grams(t) for t in texts.values()])
@@ -134,9 +144,10 @@ def predict(docs: DataFrame, model: LanguageModel, *, text_col: str = "text", la
                     lang[i], score[i] = own.languages[best], min(1.0, max(0.0, value))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(lang, pa.string()), pa.array(score, pa.float64())], names=["row", "lang", "score"])
 
-    rows = docs.select(F.struct(*kept).alias("row"), F.col(text_col).alias("text"))
+    rows = docs.select(F.struct(*(F.col(c) for c in kept), F.col(text_col).alias("__text")).alias("row")) if text_col not in kept else docs.select(F.struct(*kept).alias("row"))
+    place = len(kept) if text_col not in kept else kept.index(text_col)
     out = rows.mapInArrow(run, rows.select("row", F.lit("").alias("lang"), F.lit(0.0).alias("score")).schema)
-    return out.select("row.*", F.col("lang").alias(lang_as), F.col("score").alias(score_as))
+    return out.select(*(F.col("row")[c].alias(c) for c in kept), F.col("lang").alias(lang_as), F.col("score").alias(score_as))
 
 
 def op2_language_id(spark, sf_dir: str) -> DataFrame:

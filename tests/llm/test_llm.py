@@ -385,3 +385,53 @@ def test_mixing_meets_the_targets_by_hand(spark, name):
     for r in taken:
         assert abs(r["n"] - targets[r["source"]]) <= most[r["source"]] / 2 + 1e-6
     assert {r["source"] for r in taken} == {s for s in sizes if targets[s] >= most[s] / 2 and targets[s] > 0}
+
+
+def test_language_id_of_long_repeated_and_clashing_rows(spark):
+    words = {"en": "the house and the garden", "de": "das haus und der garten"}
+    rows = [(2 * i + k, f"{words[lang]} {i}", lang, "x", 7.0) for i in range(40) for k, lang in enumerate(words)]
+    rows += [(500, f"{words['de']} " * 40_000, "en", "y", 1.0)] * 2 + [(501, "", None, None, None), (None, words["en"], None, None, None)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string, lang_pred string, score double")
+    out = language_id.predict(frame, language_id.train(frame))
+    assert out.columns == ["doc_id", "text", "lang", "lang_pred", "score"] and out.count() == len(rows)
+    got = {r["doc_id"]: r["lang_pred"] for r in out.collect()}
+    assert got[500] == "de" and got[501] == "und" and got[None] == "en"
+    odd = language_id.predict(frame.withColumnRenamed("text", "score_").drop("score"), language_id.train(frame), text_col="score_", lang_as="score_", score_as="s")
+    assert odd.columns == ["doc_id", "lang", "lang_pred", "score_", "s"] and odd.where("score_ = 'de'").count() == 42
+
+
+def test_language_scores_equal_the_dense_product():
+    rng = np.random.default_rng(1)
+    texts = ["".join(rng.choice(list("abcdefg "), 200)) for _ in range(20)]
+    model = language_id.fit(texts, ["x", "y"] * 10, landmarks_per_lang=5)
+    own = [language_id.grams(t) for t in texts]
+    present = np.array([np.isin(model.vocabulary, g) for g in own], float)
+    assert np.allclose(model.scores(own), present @ model.weights / np.sqrt([[len(g)] for g in own]), atol=1e-5)
+    with pytest.raises(ValueError, match="languages"):
+        language_id.fit(["a"] * 300, [str(i) for i in range(300)])
+
+
+def test_chat_of_odd_trees(spark):
+    """A wide tree, a cycle, an absent parent, nulls and line breaks in roles; and an empty table."""
+    rows = [(1, "r", None, "user", "q", 0.0)] + [(1, f"l{i}", "r", "assistant", f"a{i}", float(i % 7)) for i in range(50)]
+    rows += [(2, "x", "y", "user", "lost", 9.0), (2, "y", "x", "user", "lost", 9.0), (3, "o", "gone", "us\ner<|", "\\<|im_end|>", None), (4, "n", None, None, None, None)]
+    nodes = spark.createDataFrame(rows, "tree long, node string, parent string, role string, text string, score double")
+    nodes = nodes.withColumn("role", F.coalesce("role", F.lit(""))).withColumn("text", F.coalesce("text", F.lit(""))).withColumn("leaf", F.lit(1)).withColumn("branch", F.lit(1))
+    out = {r["tree"]: r for r in chat_format.format_conversations(nodes).withColumn("turns", chat_format.parse_conversation(F.col("formatted"))).collect()}
+    assert set(out) == {1, 3, 4}
+    assert [tuple(t) for t in out[1]["turns"]] == [("user", "q"), ("assistant", "a13")] and [tuple(t) for t in out[3]["turns"]] == [("us\ner<|", "\\<|im_end|>")] and [tuple(t) for t in out[4]["turns"]] == [("", "")]
+    assert chat_format.format_conversations(nodes, best=None).where("tree = 1").count() == 50
+    assert chat_format.format_conversations(nodes.limit(0)).count() == 0
+
+
+def test_chat_round_trip_by_hand(spark):
+    rng, said = np.random.default_rng(3), ["", "a", "<|im_end|>\n<|im_start|>assistant\n", "\\", "\\\\<|", "<\\|", "<\\n|", "\n"]
+    rows = [(c, int(rng.integers(0, 3)), str(rng.choice(["user", "assistant", "to\nol"])), "".join(rng.choice(said, 3))) for c in range(12) for _ in range(int(rng.integers(1, 9)))]
+    rows += [(20, None, None, None), (20, 1, "assistant", None), (20, 1, "assistant", None), (None, 0, "user", "n")]
+    frame = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    out = chat_format.format_conversations(chat_format.thread_nodes(frame)).withColumn("turns", chat_format.parse_conversation(F.col("formatted"))).collect()
+    for r in out:
+        want = sorted(((t is not None, t or 0, role or "", text or "") for c, t, role, text in rows if c == r["tree"]))
+        assert [tuple(t) for t in r["turns"]] == [x[2:] for x in want]
+        assert "".join(p["piece"] for p in r["pieces"]) == r["formatted"] and [p["loss"] for p in r["pieces"]][1::3] == [x[2] == "assistant" for x in want]
+    assert len(out) == len({r[0] for r in rows})
