@@ -80,15 +80,16 @@ def format_conversations(nodes: DataFrame, best: int | None = 1) -> DataFrame:
     """(tree, leaf, branch, n_turns, pieces, formatted): the `best` paths of each tree (None: all), as conversations.
 
     nodes: (tree, node, parent, role, text, score). branch counts from 1 by the path's summed score (null: 0), then by
-    leaf. pieces is an array of (piece, loss) whose pieces, put together, are `formatted`; loss marks exactly the escaped
+    leaf; ranking moves scores alone, and only the chosen paths get their texts. pieces is an array of (piece, loss) whose pieces, put together, are `formatted`; loss marks exactly the escaped
     texts of assistant turns. Empty input gives no rows; further columns of nodes are not read.
     """
-    on_path = paths(nodes.select("tree", "node", "parent")).join(nodes.select("node", "role", "text", F.coalesce("score", F.lit(0.0)).alias("score")), "node")
-    ranked = on_path.groupBy("tree", "leaf").agg(F.sum("score").alias("total"))
+    on_path = paths(nodes.select("tree", "node", "parent"))
+    scored = on_path.join(nodes.select("node", F.coalesce("score", F.lit(0.0)).alias("score")), "node")
+    ranked = scored.groupBy("tree", "leaf").agg(F.sum("score").alias("total"))
     ranked = ranked.withColumn("branch", F.row_number().over(Window.partitionBy("tree").orderBy(F.desc("total"), "leaf")))
     if best is not None:
         ranked = ranked.where(F.col("branch") <= best)
-    chosen = on_path.join(ranked.select("leaf", "branch"), "leaf")
+    chosen = on_path.join(ranked.select("leaf", "branch"), "leaf").join(nodes.select("node", "role", "text"), "node")
     turns = chosen.groupBy("tree", "leaf", "branch").agg(F.sort_array(F.collect_list(F.struct((-F.col("up")).alias("at"), "role", "text"))).alias("turns"))
     pieces = F.flatten(F.transform("turns", lambda t: F.array(
         F.struct(F.concat(F.lit(START), escape_role(t["role"]), F.lit("\n")).alias("piece"), F.lit(False).alias("loss")),
