@@ -8,6 +8,8 @@ done row by row: nothing is exploded, shuffled or joined, as the two tables are
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -33,6 +35,21 @@ SENTENCES = {
     "cc.by-nc": "licensed under cc by nc 4.0",
     "cc.by": "licensed under cc by 4.0",
     "cc.by-sa": "licensed under cc by sa 4.0",
+    "cc.by.work": "this work is licensed under a creative commons attribution 4.0 international license",
+    "cc.by-sa.work": "this work is licensed under a creative commons attribution sharealike 4.0 international license",
+    "cc.by-nc.work": "this work is licensed under a creative commons attribution noncommercial 4.0 international license",
+    "cc0.waived": "to the extent possible under law the author has waived all copyright and related or neighboring rights to this work",
+    "gpl2.redistribute": "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 2 of the license or at your option any later version",
+    "lgpl2.redistribute": "this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version 2.1 of the license or at your option any later version",
+    "lgpl3.redistribute": "this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version 3 of the license or at your option any later version",
+    "agpl3.redistribute": "this program is free software you can redistribute it and or modify it under the terms of the gnu affero general public license as published by the free software foundation either version 3 of the license or at your option any later version",
+    "mpl.subject": "this source code form is subject to the terms of the mozilla public license v 2.0",
+    "isc.grant": "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies",
+    "unlicense.released": "this is free and unencumbered software released into the public domain",
+    "bsl.distributed": "distributed under the boost software license version 1.0",
+    "epl.available": "this program and the accompanying materials are made available under the terms of the eclipse public license 2.0 which is available at https www eclipse org legal epl 2.0",
+    "zlib.claims": "in no event will the authors be held liable for any damages arising from the use of this software",
+    "zlib.grant": "permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely subject to the following restrictions",
 }
 # Licence, then the sentences in their order. Of a licence any rule is enough.
 RULES = (
@@ -47,11 +64,30 @@ RULES = (
     ("CC-BY-NC-4.0", ("cc.by-nc",)),
     ("CC-BY-4.0", ("cc.by",)),
     ("CC-BY-SA-4.0", ("cc.by-sa",)),
+    ("CC-BY-4.0", ("cc.by.work",)),
+    ("CC-BY-SA-4.0", ("cc.by-sa.work",)),
+    ("CC-BY-NC-4.0", ("cc.by-nc.work",)),
+    ("CC0-1.0", ("cc0.waived",)),
+    ("GPL-2.0-or-later", ("gpl2.redistribute", "gpl.hope")),
+    ("LGPL-2.1-or-later", ("lgpl2.redistribute", "gpl.hope")),
+    ("LGPL-3.0-or-later", ("lgpl3.redistribute", "gpl.hope")),
+    ("AGPL-3.0-or-later", ("agpl3.redistribute", "gpl.hope")),
+    ("MPL-2.0", ("mpl.subject",)),
+    ("ISC", ("isc.grant",)),
+    ("Unlicense", ("unlicense.released",)),
+    ("BSL-1.0", ("bsl.distributed",)),
+    ("EPL-2.0", ("epl.available",)),
+    ("Zlib", ("zlib.claims", "zlib.grant")),
 )
 # Other wordings of known sentences; * stands for a name of 1 to 12 words.
 VARIANTS = (
     ("apache.licensed", "licensed under the apache license version 2.0 the license"),
     ("gpl.redistribute", "* is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version"),
+    ("gpl2.redistribute", "* is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 2 of the license or at your option any later version"),
+    ("lgpl2.redistribute", "* is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version 2.1 of the license or at your option any later version"),
+    ("lgpl3.redistribute", "* is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version 3 of the license or at your option any later version"),
+    ("agpl3.redistribute", "* is free software you can redistribute it and or modify it under the terms of the gnu affero general public license as published by the free software foundation either version 3 of the license or at your option any later version"),
+    ("cc0.waived", "to the extent possible under law * has waived all copyright and related or neighboring rights to this work"),
     ("gpl.hope", "* is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose"),
     ("bsd.names", "neither the name of * nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission"),
 )
@@ -101,12 +137,24 @@ def sentence_ids(text: Column, sentences: dict[str, str], variants=()) -> Column
     return F.when(likely, F.transform(found, which)).otherwise(F.array().cast("array<int>"))
 
 
+def part_of(a: tuple[str, ...], b: tuple[str, ...]) -> bool:
+    """Whether a longer rule b has the sentences of a in their order."""
+    rest = iter(b)
+    return len(a) < len(b) and all(x in rest for x in a)
+
+
 def matched_licenses(ids: Column, sentences: dict[str, str], rules) -> Column:
-    """The licences whose rules match the identifier sequence, in the order of the rules, each once."""
+    """The licences whose rules match the identifier sequence, in the order of the rules, each once.
+
+    A rule that is part of a longer one (its sentences are among the longer one's, in their order) gives way where that
+    one matches.
+    """
     at = {name: i for i, name in enumerate(sentences, 1)}
     line = F.concat(F.lit(","), F.array_join(ids.cast("array<string>"), ","), F.lit(","))
     line = F.replace(line, F.lit(","), F.lit(",,"))
-    found = [F.when(line.like("%" + "%".join(f",{at[n]}," for n in names) + "%"), F.lit(licence)) for licence, names in rules]
+    said = lambda names: line.like("%" + "%".join(f",{at[n]}," for n in names) + "%")
+    longer = lambda names: [said(b) for _, b in rules if part_of(names, b)]
+    found = [F.when(reduce(lambda x, y: x & ~y, longer(names), said(names)), F.lit(licence)) for licence, names in rules]
     return F.array_distinct(F.array_compact(F.array(*found)))
 
 
@@ -131,19 +179,22 @@ def _op8_sql() -> str:
     quote = lambda s: "'" + s.replace("'", "''") + "'"
     known = ", ".join(f"({i}, {quote(n)}, {quote(s)})" for i, (n, s) in enumerate(SENTENCES.items(), 1))
     rules = ", ".join(f"({i}, {quote(licence)}, {quote('%' + '%'.join(f',{n},' for n in names) + '%')})" for i, (licence, names) in enumerate(RULES))
+    longer = ", ".join(f"({i}, {quote('%' + '%'.join(f',{n},' for n in b) + '%')})" for i, (_, a) in enumerate(RULES) for _, b in RULES if part_of(a, b))
     return rf"""
 WITH known(idx, name, sentence) AS (VALUES {known}),
 rules(n, licence, pattern) AS (VALUES {rules}),
+longer(n, pattern) AS (VALUES {longer}),
 parts AS (
     SELECT doc_id, unnest(p) AS part, generate_subscripts(p, 1) AS pos
     FROM (SELECT doc_id, string_split(regexp_replace(coalesce(text, ''), '[.!?;:]+(\s|$)|\n', chr(1), 'g'), chr(1)) AS p FROM documents)),
 said AS (
     SELECT doc_id, pos, trim(regexp_replace(regexp_replace(lower(part), '[^a-z0-9.]+', ' ', 'g'), '\.( |$)', ' ', 'g')) AS sentence
-    FROM parts WHERE lower(part) LIKE '%licen%' OR lower(part) LIKE '%redistribut%' OR lower(part) LIKE '%warrant%' OR lower(part) LIKE '%permission%' OR lower(part) LIKE '%endorse%'),
+    FROM parts),
 hits AS (SELECT doc_id, count(*) AS n, string_agg(name, ',' ORDER BY pos) AS names FROM said JOIN known USING (sentence) GROUP BY doc_id),
 licensed AS (
     SELECT doc_id, string_agg(licence, ',' ORDER BY n) AS licenses
-    FROM (SELECT h.doc_id, r.licence, min(r.n) AS n FROM hits h JOIN rules r ON ',,' || replace(h.names, ',', ',,') || ',,' LIKE r.pattern GROUP BY 1, 2) GROUP BY doc_id)
+    FROM (SELECT h.doc_id, r.licence, min(r.n) AS n FROM hits h JOIN rules r ON ',,' || replace(h.names, ',', ',,') || ',,' LIKE r.pattern
+          WHERE NOT EXISTS (SELECT 1 FROM longer x WHERE x.n = r.n AND ',,' || replace(h.names, ',', ',,') || ',,' LIKE x.pattern) GROUP BY 1, 2) GROUP BY doc_id)
 SELECT d.doc_id, CAST(coalesce(h.n, 0) AS BIGINT) AS n_sentences, coalesce(h.names, '') AS sentences, coalesce(l.licenses, '') AS licenses
 FROM documents d LEFT JOIN hits h USING (doc_id) LEFT JOIN licensed l USING (doc_id)
 """

@@ -230,16 +230,42 @@ modification, are permitted provided that the following conditions are met:
    this software without specific prior written permission."""
 
 
+MPL = """/* This Source Code Form is subject to the terms of the Mozilla Public
+ * License, v. 2.0. If a copy of the MPL was not distributed with this
+ * file, You can obtain one at https://mozilla.org/MPL/2.0/. */"""
+ISC = """Permission to use, copy, modify, and/or distribute this software for any
+purpose with or without fee is hereby granted, provided that the above
+copyright notice and this permission notice appear in all copies."""
+ZLIB = """This software is provided 'as-is', without any express or implied
+warranty. In no event will the authors be held liable for any damages
+arising from the use of this software.
+
+Permission is granted to anyone to use this software for any purpose,
+including commercial applications, and to alter it and redistribute it
+freely, subject to the following restrictions:"""
+
+
 def test_licenses_as_published(spark):
-    gpl, bsd = GPL.format("This program", "This program"), ["BSD-3-Clause", "BSD-2-Clause"]
+    gpl, bsd = GPL.format("This program", "This program"), ["BSD-3-Clause"]
     cases = [(MIT, ["MIT"]), (APACHE, ["Apache-2.0"]), (gpl, ["GPL-3.0-or-later"]), (GPL.format("Foo", "Foo"), ["GPL-3.0-or-later"]), (BSD.format(".", "the copyright holder"), bsd), (BSD.format(")", "Some Company Inc."), bsd)]
     cases += [("".join(f"{mark} {line}\n" for line in text.split("\n")), want) for text, want in cases[:5] for mark in ("#", "//", " *", ";;", "dnl")]
     cases += [(gpl.replace("\n", " "), ["GPL-3.0-or-later"]), ("Released under the MIT License\nSee the file", ["MIT"]), ("Never released under the MIT License.", []), ("Released under the MIT License of old", []), ("Licensed under CC BY-NC 4.0\r\nand so on", ["CC-BY-NC-4.0"])]
+    cases += [(BSD.format(".", "x").rpartition("3.")[0], ["BSD-2-Clause"]), (GPL.format("Foo bar", "Foo bar").replace("version 3", "version 2"), ["GPL-2.0-or-later"])]
+    cases += [(GPL.format(x, x).replace("GNU", f"GNU {kind}").replace("version 3", f"version {v}"), [f"{name}-{v}{'.0' * (v != '2.1')}-or-later"]) for x, kind, v, name in (("This library", "Lesser", "2.1", "LGPL"), ("This library", "Lesser", "3", "LGPL"), ("This program", "Affero", "3", "AGPL"))]
+    cases += [(MPL, ["MPL-2.0"]), (MPL.replace("\n", " "), ["MPL-2.0"]), (ISC, ["ISC"]), (ZLIB, ["Zlib"]), ("This is free and unencumbered software released into the public domain.\n\nAnyone", ["Unlicense"]), ("//          Copyright Joe 2015\n// Distributed under the Boost Software License, Version 1.0.\n//    (See", ["BSL-1.0"]), ("This program and the accompanying materials are made available under the\nterms of the Eclipse Public License 2.0 which is available at\nhttps://www.eclipse.org/legal/epl-2.0/\n", ["EPL-2.0"]), ("To the extent possible under law, Jane Roe has waived all copyright and related or\nneighboring rights to this work.", ["CC0-1.0"]), ("This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.", ["CC-BY-SA-4.0"])]
+    cases += [(MIT.replace("free of charge", "at a charge"), []), (APACHE.replace("2.0", "1.1"), []), (GPL.format("This", "This").replace("any later", "no later"), []), (BSD.format(".", "x").replace("binary form must", "binary form may"), []), ("\n\n".join(reversed(MIT.split("\n\n"))), []), (MIT + "\n\n" + APACHE, ["MIT", "Apache-2.0"])]
     cases += [("字" * 100_000 + ". . " * 50_000 + "- \n" * 50_000 + MIT + "!?" * 50_000 + " x" * 100_000, ["MIT"])]
     rows = license_scan.scan_licenses(spark.createDataFrame([(i, text) for i, (text, _) in enumerate(cases)], "doc_id long, text string")).orderBy("doc_id").collect()
     assert [r["licenses"] for r in rows] == [want for _, want in cases]
 
 
+def test_licenses_of_an_empty_table_repeated_rows_and_clashing_columns(spark):
+    frame = spark.createDataFrame([(1, MIT, "x"), (1, MIT, "x"), (None, MIT, None)], "doc_id long, text string, licenses string")
+    out = license_scan.scan_licenses(frame)
+    assert out.columns == ["doc_id", "sentence_ids", "licenses"] and [r["licenses"] for r in out.collect()] == [["MIT"]] * 3
+    assert license_scan.scan_licenses(frame.limit(0)).count() == 0
+
+
 def test_own_license_sentences(spark):
     frame = spark.createDataFrame([(1, "Free\nfor all."), (2, "free for some")], "doc_id long, text string")
     rows = license_scan.scan_licenses(frame, sentences={"own": "free for all"}, rules=(("Own", ("own",)),)).orderBy("doc_id").collect()
