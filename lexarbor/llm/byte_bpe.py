@@ -107,7 +107,7 @@ def encode_words(ranks):
     """mapInArrow: (block, bucket, packed words) to (block, bucket, packed ids of each word)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = tiktoken.Encoding("words", pat_str=r".+", mergeable_ranks=ranks.value, special_tokens={})._encode_single_piece
+        encode = tiktoken.Encoding("words", pat_str=r"(?s:.+)", mergeable_ranks=ranks.value, special_tokens={}).encode_ordinary
         memo: dict[bytes, bytes] = {}
         for batch in batches:
             out = []
@@ -117,7 +117,7 @@ def encode_words(ranks):
                     if (got := memo.get(word)) is None:
                         if len(memo) > MEMO_WORDS:
                             memo.clear()
-                        got = memo[word] = np.array(encode(word), "<u4").tobytes()
+                        got = memo[word] = np.array(encode(word.decode()), "<u4").tobytes()
                     ids.append(got)
                 out.append(pack_bytes(ids))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.binary())], names=["block", "bucket", "packed"])
@@ -162,6 +162,11 @@ def bpe_encode(docs: DataFrame, ranks_path: str, pattern: str, *, id_col: str =
     Null and empty texts have no ids. Special tokens in a text are ordinary characters. Rows with one id stay separate
     rows. Other columns are not read. A block's words and positions are one task's memory; a longer text is a block.
     """
+    return _encoded_blocks(docs, ranks_path, pattern, id_col, text_col, block_chars).mapInArrow(assemble, "doc_id long, ids array<int>")
+
+
+def _encoded_blocks(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", block_chars: int = BLOCK_CHARS) -> DataFrame:
+    """(doc_ids, lengths, positions, coded) of each block, as assemble() takes it."""
     spark = docs.sparkSession
     n_buckets = partitions(spark)
     ranks = spark.sparkContext.broadcast(load_ranks(ranks_path))
@@ -170,8 +175,7 @@ def bpe_encode(docs: DataFrame, ranks_path: str, pattern: str, *, id_col: str =
     asked = blocks.select("block", F.explode("words").alias("w")).select("block", "w.bucket", "w.packed")
     coded = asked.repartition(n_buckets, "bucket").mapInArrow(encode_words(ranks), "block long, bucket int, packed binary")
     coded = coded.groupBy("block").agg(F.collect_list(F.struct("bucket", "packed")).alias("coded"))
-    joined = blocks.select("block", "doc_ids", "lengths", "positions").join(coded, "block", "left").select("doc_ids", "lengths", "positions", "coded")
-    return joined.mapInArrow(assemble, "doc_id long, ids array<int>")
+    return blocks.select("block", "doc_ids", "lengths", "positions").join(coded, "block", "left").select("doc_ids", "lengths", "positions", "coded")
 
 
 def bpe_decode(encoded: DataFrame, ranks_path: str) -> DataFrame:
@@ -180,11 +184,20 @@ def bpe_decode(encoded: DataFrame, ranks_path: str) -> DataFrame:
     Null ids are no ids. An id outside the vocabulary raises an error. The token-byte table is broadcast: it has an
     entry per token of the vocabulary.
     """
+    run = decode_ids(encoded.sparkSession, ranks_path)
+    return encoded.select("doc_id", "ids").mapInArrow(run, DECODED)
+
+
+DECODED = "doc_id long, n_tokens long, ids_bytes binary, decoded binary"
+
+
+def decode_ids(spark, ranks_path: str):
+    """mapInArrow: (doc_id, ids) to DECODED."""
     ranks = load_ranks(ranks_path)
     by_id: list[bytes | None] = [None] * (max(ranks.values(), default=-1) + 1)
     for token, rank in ranks.items():
         by_id[rank] = token
-    tokens = encoded.sparkSession.sparkContext.broadcast(by_id)
+    tokens = spark.sparkContext.broadcast(by_id)
     schema = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_bytes", pa.binary()), ("decoded", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -195,15 +208,19 @@ def bpe_decode(encoded: DataFrame, ranks_path: str) -> DataFrame:
             decoded = [b"".join(map(of, x.tolist())) for x in arrays]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(x) for x in arrays], pa.int64()), pa.array(packed, pa.binary()), pa.array(decoded, pa.binary())], schema=schema)
 
-    return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, n_tokens long, ids_bytes binary, decoded binary")
+    return run
 
 
 def round_trip(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_tokens, ids_bytes, ids_sha256, decoded_sha256) of docs by the public 50k byte-level vocabulary."""
+    """(doc_id, n_tokens, ids_bytes, ids_sha256, decoded_sha256) of docs by the public 50k byte-level vocabulary.
+
+    Texts are put together and decoded in one Python process of a task, so ids don't go through the JVM in between.
+    """
     import public_tokenizers
 
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
-    out = bpe_decode(bpe_encode(docs, path, public_tokenizers.PATTERN), path)
+    decode = decode_ids(docs.sparkSession, path)
+    out = _encoded_blocks(docs, path, public_tokenizers.PATTERN).mapInArrow(lambda batches: decode(assemble(batches)), DECODED)
     return out.select("doc_id", "n_tokens", "ids_bytes", F.sha2("ids_bytes", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import gc
 import uuid
 
@@ -13,16 +15,25 @@ __all__ = ["partitions", "release", "shared_dir", "staged", "staged_buckets", "t
 
 
 def staged_buckets(df: DataFrame, label: str, column: str, n: int) -> DataFrame:
-    """staged(), but written in n buckets of `column`, so that a join on it does not move these rows again."""
+    """staged(), but written in n buckets of `column`, so that a join on it does not move these rows again.
+
+    Buckets need a table in the catalogue; it is dropped when this Python process ends.
+    """
     spark = df.sparkSession
     name = f"{label}_{uuid.uuid4().hex}".replace("-", "_")
     path = f"{shared_dir(spark)}/{name}"
     df.write.bucketBy(n, column).option("path", path).saveAsTable(name)
+    atexit.register(_drop, spark, name)
     jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
     jpath.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(jpath)
     return spark.table(name)
 
 
+def _drop(spark: SparkSession, name: str) -> None:
+    with contextlib.suppress(Exception):  # the session may have been stopped before
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
