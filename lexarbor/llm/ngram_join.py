@@ -1,7 +1,8 @@
 """N-gram Jaccard join by T-occurrence search (DivideSkip).
 
 1. A shingle that one set alone has takes part in no overlap. Blocks of texts send their shingles, packed, to buckets by
-   hash range, which count the sets of each and send back those that two or more have, with their frequency.
+   hash range, which count the sets of each and send back those that two or more have, with their frequency. Of a shingle
+   that many sets of a block have only one entry with their number goes, so a bucket gets few entries of a block for it.
 2. A set of n shingles needs T = ceil(0.75 n) in common with any partner, so sets with fewer shared shingles are done.
 3. The rest, ordered by their least shingle, is cut into index chunks of bounded size. In a chunk a set is looked up in
    the inverted lists of its rarest shingles, which are merged and counted (short lists); candidates are then probed for
@@ -10,7 +11,7 @@
 4. What the chunks have not met: a set visits each other chunk where a set of another component has one of its rarest
    shingles (prefix filter: a pair above the threshold shares one). Twice a few sets per component go to the heaviest
    component that a shingle has, then all that still have somewhere to go, from lighter to heavier components.
-Links are exact on 48-bit shingle hashes; only links that connect something new are kept.
+Links are exact on 48-bit shingle hashes (two sets of 1,000 shingles have a false one in common once in 10**8 pairs); only links that connect something new are kept.
 """
 
 from __future__ import annotations
@@ -29,7 +30,11 @@ from .common import partitions, release, staged, table
 from .components import components
 
 WORDS, PERCENT = 5, 75
-BLOCK_SHINGLES, CHUNK_SETS = 4_000_000, 512
+BLOCK_SHINGLES, CHUNK_SETS = 2_000_000, 512
+#: A shingle that so many sets of a block have is sent once, under this mark instead of a set.
+OFTEN, MARK = 8, 0xFFFFFFFF
+#: Visitors of a chunk that are one row.
+VISITORS = 4096
 #: A set must meet a candidate in this many of its short lists (fewer if it needs fewer at all).
 SHORT_HITS = 3
 HUBS = 4
@@ -89,10 +94,11 @@ SENT_SQL = "bucket int, block long, hashes binary, sets binary, counts binary, i
 
 
 def send_blocks(n_buckets: int, words: int, block_shingles: int):
-    """mapInArrow: (doc_id, text) to packed shingles for each bucket and one row that tells of the block itself.
+    """mapInArrow: (doc_id, text) to packed shingles for each bucket, one row that tells of the block itself and one that keeps its frequent shingles.
 
-    That row has, in place of hashes, sizes (hashes), the first row with the same shingles (sets) and ids. Of rows with
-    the same shingles only the one with the least id sends them.
+    The first has, in place of hashes, sizes (hashes), the first row with the same shingles (sets) and ids; the second
+    has no ids and which sets have the frequent ones. Of rows with the same shingles only the one with the least id sends
+    them.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -109,9 +115,19 @@ def send_blocks(n_buckets: int, words: int, block_shingles: int):
             of = np.repeat(np.array([i for i, _ in held], np.uint64), [len(x) for _, x in held])
             order = np.argsort(h, kind="stable")
             h, of = h[order], of[order]
+            first = np.flatnonzero(np.append(True, h[1:] != h[:-1])) if len(h) else np.empty(0, np.int64)
+            runs = np.diff(np.append(first, len(h)))
+            often = np.repeat(runs >= OFTEN, runs)
+            kept = {"bucket": block % n_buckets, "block": block, "hashes": pack(h[often], 6), "sets": pack(of[often], 4), "ids": []}
+            again = first[runs >= OFTEN]
+            weight = np.append(np.ones(len(h) - often.sum(), np.uint64), np.minimum(runs[runs >= OFTEN], 255).astype(np.uint64))
+            h, of = np.append(h[~often], h[again]), np.append(of[~often], np.full(len(again), MARK, np.uint64))
+            order = np.argsort(h, kind="stable")
+            h, of, weight = h[order], of[order], weight[order]
             bucket = ((h >> np.uint64(16)) * np.uint64(n_buckets)) >> np.uint64(HASH_BITS - 16)
             cuts = np.searchsorted(bucket, np.arange(n_buckets + 1, dtype=np.uint64)).tolist()
-            rows = [{"bucket": b, "block": block, "hashes": pack(h[cuts[b] : cuts[b + 1]], 6), "sets": pack(of[cuts[b] : cuts[b + 1]], 4)} for b in range(n_buckets) if cuts[b] < cuts[b + 1]]
+            rows = [{"bucket": b, "block": block, "hashes": pack(h[cuts[b] : cuts[b + 1]], 6), "sets": pack(of[cuts[b] : cuts[b + 1]], 4), "counts": pack(weight[cuts[b] : cuts[b + 1]], 1)} for b in range(n_buckets) if cuts[b] < cuts[b + 1]]
+            rows.append(kept)
             rows.append({"bucket": block % n_buckets, "block": block, "hashes": pack(np.array(state["sizes"], np.uint64), 6), "sets": pack(np.array(state["same"], np.uint64), 4), "ids": state["ids"]})
             yield pa.RecordBatch.from_pylist(rows, schema=SENT)
             state["n"] += 1
@@ -153,12 +169,13 @@ def count_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
     def counted(bucket: int, rows: list[dict]) -> Iterator[pa.RecordBatch]:
         h = np.concatenate([unpack(r["hashes"], 6) for r in rows])
         of = np.concatenate([unpack(r["sets"], 4) for r in rows])
-        block = np.repeat(np.arange(len(rows)), [len(unpack(r["hashes"], 6)) for r in rows])
+        weight = [unpack(r["counts"], 1) for r in rows]
+        block, weight = np.repeat(np.arange(len(rows)), list(map(len, weight))), np.concatenate(weight).astype(np.int64)
         order = np.argsort(h, kind="stable")
         first = np.flatnonzero(np.concatenate([[True], h[order][1:] != h[order][:-1]]))
         runs = np.diff(np.append(first, len(h)))
         count = np.empty(len(h), np.int64)
-        count[order] = np.repeat(runs, runs)
+        count[order] = np.repeat(np.add.reduceat(weight[order], first), runs)
         shared = count >= 2
         cuts = np.concatenate([[0], np.cumsum(np.bincount(block[shared], minlength=len(rows)))]).tolist()
         h, of, count = h[shared], of[shared], np.minimum(count[shared], 255)
@@ -191,13 +208,17 @@ def gather_sets(percent: int):
         for batch in batches:
             for parts in batch.column(1):
                 parts = parts.as_py()
-                about = next(p for p in parts if p["ids"] is not None)
+                about, kept = next(p for p in parts if p["ids"]), next(p for p in parts if p["ids"] == [])
                 back = [p for p in parts if p["ids"] is None]
                 sizes, same = unpack(about["hashes"], 6).tolist(), unpack(about["sets"], 4).tolist()
                 ids = about["ids"]
                 h = np.concatenate([unpack(p["hashes"], 6) for p in back]) if back else np.empty(0, np.uint64)
                 of = np.concatenate([unpack(p["sets"], 4) for p in back]).astype(np.int64) if back else np.empty(0, np.int64)
                 count = np.concatenate([unpack(p["counts"], 1) for p in back]) if back else np.empty(0, np.uint64)
+                often, marked = unpack(kept["hashes"], 6), of == MARK
+                known = np.argsort(h[marked])
+                frequency = count[marked][known][np.searchsorted(h[marked][known], often)] if len(often) else often
+                h, of, count = np.append(h[~marked], often), np.append(of[~marked], unpack(kept["sets"], 4).astype(np.int64)), np.append(count[~marked], frequency)
                 order = np.lexsort((h, count, of))
                 h, of = h[order], of[order]
                 cuts = np.searchsorted(of, np.arange(len(ids) + 1)).tolist()
@@ -352,7 +373,7 @@ def _visits(chunks: DataFrame, sets: DataFrame, labels: DataFrame, percent: int,
     several chunks hold come together in as many visits as there are chunks. With `every`, all sets of a component go to
     the chunks of all heavier ones. A shingle that one component alone has leads nowhere. What goes from one chunk to
     another is bundled over the shingles before it is taken apart, so a set that shares many of them goes once; a bundle
-    is bounded by the sets of its home chunk.
+    is bounded by the sets of its home chunk. A chunk's visitors come in rows of about VISITORS.
     """
     of = chunks.select("chunk", F.explode(F.array_distinct("roots")).alias("node")).join(labels, "node")
     of = of.groupBy("chunk").agg(F.collect_list(F.struct(F.col("node").alias("root"), "label", "weight")).alias("labels"))
@@ -374,10 +395,11 @@ def _visits(chunks: DataFrame, sets: DataFrame, labels: DataFrame, percent: int,
         legs = mixed.where("label <> to.label").select(F.col("chunk").alias("home"), "going", F.col("to.chunk").alias("chunk"), "label", *(F.col(f"to.{x}").alias(x) for x in ("low", "high", "reach")))
     fitting = F.filter("going", lambda x: (percent * x["n"] <= 100 * F.col("high")) & (percent * F.col("low") <= 100 * x["n"]) & (F.col("low") <= x["top"]) & (x["n"] <= F.col("reach")))
     legs = legs.select("home", "label", "chunk", F.transform(fitting, lambda x: x["node"]).alias("going")).where(F.size("going") > 0)
-    bundles = legs.groupBy("home", "label", "chunk").agg(F.array_distinct(F.flatten(F.collect_set("going"))).alias("going"))
-    pairs = bundles.select(F.explode("going").alias("visitor"), "chunk", "label")
+    bundles = staged(legs.groupBy("home", "label", "chunk").agg(F.array_distinct(F.flatten(F.collect_set("going"))).alias("going")), "ngram-bundles")
+    rows = bundles.groupBy("chunk").agg(F.ceil(F.sum(F.size("going")) / VISITORS).alias("rows"))
+    pairs = bundles.join(rows, "chunk").select(F.explode("going").alias("visitor"), "chunk", "label", "rows").withColumn("row", F.pmod(F.xxhash64("visitor"), "rows")).drop("rows")
     carried = pairs.join(sets.select(F.col("node").alias("visitor"), "n", "shared"), "visitor")
-    visitors = carried.groupBy("chunk").agg(F.collect_list(F.struct(F.col("visitor").alias("node"), "n", "label", "shared")).alias("visitors"))
+    visitors = carried.groupBy("chunk", "row").agg(F.collect_list(F.struct(F.col("visitor").alias("node"), "n", "label", "shared")).alias("visitors"))
     work = labelled.join(visitors, "chunk").select("nodes", "sizes", "roots", "shared", "labels", "visitors")
     return staged(work.mapInArrow(visit_chunks(percent), "a long, b long"), "ngram-links")
 

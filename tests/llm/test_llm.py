@@ -461,3 +461,51 @@ def test_chat_round_trip_by_hand(spark):
         assert [tuple(t) for t in r["turns"]] == [x[2:] for x in want]
         assert "".join(p["piece"] for p in r["pieces"]) == r["formatted"] and [p["loss"] for p in r["pieces"]][1::3] == [x[2] == "assistant" for x in want]
     assert len(out) == len({r[0] for r in rows})
+
+
+def test_byte_bpe_over_block_ends_long_texts_and_an_empty_table(spark):
+    import public_tokenizers
+    import tiktoken
+
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    own = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=byte_bpe.load_ranks(path), special_tokens={})
+    rng = np.random.default_rng(2)
+    texts = [" ".join(f"w{rng.integers(50)}" for _ in range(rng.integers(0, 40))) for _ in range(60)] + ["", None, "long é字 text\n" * 100_000, "x" * 3000, "　 \t\r\n\n  a"]
+    frame = spark.createDataFrame([(i // 2, t, "ids", 1) for i, t in enumerate(texts)], "doc_id long, text string, ids string, n_tokens int")
+    encoded = byte_bpe.bpe_encode(frame, path, public_tokenizers.PATTERN, block_chars=100)
+    want = sorted((i // 2, own.encode_ordinary(t or "")) for i, t in enumerate(texts))
+    assert sorted((r["doc_id"], r["ids"]) for r in encoded.collect()) == want
+    decoded = byte_bpe.bpe_decode(encoded, path).collect()
+    assert sorted((r["doc_id"], bytes(r["decoded"]).decode()) for r in decoded) == sorted((i // 2, t or "") for i, t in enumerate(texts))
+    assert byte_bpe.round_trip(frame.limit(0)).count() == 0 and byte_bpe.round_trip(frame).count() == len(texts)
+
+
+def components_by_hand(texts, percent=75):
+    own = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} or ({tuple(w)} if w else set()) for w in ((t or "").lower().split() for t in texts)]
+    least = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if own[i] and own[j] and 100 * len(own[i] & own[j]) >= percent * len(own[i] | own[j]) and least[i] != least[j]:
+                a, b = sorted((least[i], least[j]))
+                least = [a if x == b else x for x in least]
+    return {i: (len(s), x) for i, (s, x) in enumerate(zip(own, least, strict=True))}
+
+
+@pytest.mark.parametrize("visitors", [2, 4096])
+def test_ngram_join_with_hot_shingles_equals_brute_force(spark, monkeypatch, visitors):
+    """A third of all texts have the same passage, others are copies and near copies of one; few visitors a row."""
+    monkeypatch.setattr(ngram_join, "VISITORS", visitors)
+    rng, passage = np.random.default_rng(11), [f"hot{k}" for k in range(30)]
+    texts = [" ".join([*passage, *(f"u{i}_{k}" for k in range(rng.integers(5, 30)))]) for i in range(80)]
+    base = [f"b{k}" for k in range(70)]
+    for _ in range(60):
+        words = list(base)
+        for at in rng.integers(0, 70, rng.integers(0, 3)):
+            words[at] = f"n{rng.integers(10**9)}"
+        texts.append(" ".join(words))
+    texts += [" ".join(base)] * 40 + [" ".join(passage)] * 30 + [None, "", " \n", "one two", "ONE two", "x " * 3000, "a b c d"]
+    texts = [texts[i] for i in rng.permutation(len(texts))]
+    frame = spark.createDataFrame([(i, t, i, "c") for i, t in enumerate(texts)], "doc_id long, text string, n_shingles long, component_id string")
+    found = ngram_join.jaccard_components(frame, chunk_sets=4, block_shingles=700)
+    assert found.columns == ["doc_id", "n_shingles", "component_id"]
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in found.collect()} == components_by_hand(texts)
