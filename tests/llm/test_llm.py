@@ -509,3 +509,33 @@ def test_ngram_join_with_hot_shingles_equals_brute_force(spark, monkeypatch, vis
     found = ngram_join.jaccard_components(frame, chunk_sets=4, block_shingles=700)
     assert found.columns == ["doc_id", "n_shingles", "component_id"]
     assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in found.collect()} == components_by_hand(texts)
+
+
+def test_quality_table_equals_plain_loops(spark):
+    import re
+
+    import zstandard
+
+    rng, word = np.random.default_rng(9), re.compile(r"[^\x20\x09-\x0D]+")
+    texts = ["\n".join(" ".join(f"w{rng.integers(40)}{rng.choice(list('#*$a'))}" for _ in range(rng.integers(0, 12))) for _ in range(rng.integers(1, 40))) for _ in range(40)] + [None, "", " \t\n", "a b c " * 400, "é字　x y " * 60]
+    frame = spark.createDataFrame([(i // 2, t, 1, "k") for i, t in enumerate(texts)], "doc_id long, text string, n_words long, kept string")
+    pack, want = zstandard.ZstdCompressor(level=3).compress, []
+    for i, t in enumerate(texts):
+        words, lines = word.findall(t or ""), [x for x in (t or "").split("\n") if word.search(x)]
+        windows = [tuple(words[k : k + 3]) for k in range(len(words) - 2)]
+        repeated = {k + j for k, w in enumerate(windows) if windows.count(w) > 1 for j in range(3)}
+        failed = len(words) < 50 or 100 * len(repeated) > 50 * len(words)
+        kept = not failed and quality_rules.compression_verdict((t or "").encode(), pack)[0]
+        want.append((i // 2, len(words), sum(map(len, words)), sum((t or "").count(c) for c in "#*$%&|<>"), len(lines) - len(set(lines)), len(repeated), failed, kept))
+    out = quality_rules.quality_scores(frame)
+    names = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"]
+    assert sorted(tuple(r) for r in out.select(*names).collect()) == sorted(want)
+    assert quality_rules.quality_scores(frame.limit(0)).count() == 0
+
+
+def test_line_dedup_of_ties_null_ids_and_repeated_ids(spark):
+    line = "a line of more than forty characters that many documents of this table share"
+    rows = [(i, f"{line}\nown", "c", 1) for i in range(4)] + [(4, f"  {line.upper()}\t\n{line}", "c", 1)] * 2 + [(None, line, "c", 1)] * 3
+    out = line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string, n_dropped string, __x int")).collect()
+    got = sorted((-1 if r["doc_id"] is None else r["doc_id"], r["text"], r["_n_dropped"]) for r in out)
+    assert got == sorted([(i, "own", 1) for i in range(4)] + [(4, rows[4][1], 0)] * 2 + [(-1, "", 1)] * 3)
