@@ -27,6 +27,26 @@ TAGS = {
     "X": ("residual", (("type", {"f": "foreign", "t": "typo", "p": "program", "w": "web", "e": "emo", "h": "hashtag", "a": "at"}),)),
     "Z": ("punctuation", ()),
 }
+# The native spelling of the tag set. Per native category its English letter, then per position the native characters and the English ones.
+_OF_GENDER, _OF_NUMBER, _OF_CASE = ("mzs", "mfn"), ("edm", "sdp"), ("irdtmo", "ngdali")
+_OF_DEGREE, _OF_PERSON, _OF_YES = ("nps", "pcs"), ("pdt", "123"), ("nd", "ny")
+NATIVE = {
+    "S": ("N", (("ol", "cp"), _OF_GENDER, _OF_NUMBER, _OF_CASE, _OF_YES)),
+    "G": ("V", (("gp", "ma"), ("dnv", "epb"), ("nmdspgv", "nuprfcm"), _OF_PERSON, _OF_NUMBER, _OF_GENDER, _OF_YES)),
+    "P": ("A", (("psd", "gsp"), _OF_DEGREE, _OF_GENDER, _OF_NUMBER, _OF_CASE, _OF_YES)),
+    "R": ("R", (("sd", "gr"), ("nrs", "pcs"))),
+    "Z": ("P", (("oskzpcvnl", "psdrxgqiz"), _OF_PERSON, _OF_GENDER, _OF_NUMBER, _OF_CASE, _OF_NUMBER, _OF_GENDER, ("kz", "yb"))),
+    "K": ("M", (("abr", "dlr"), ("gvzd", "cops"), _OF_GENDER, _OF_NUMBER, _OF_CASE, _OF_YES)),
+    "D": ("S", (_OF_CASE,)),
+    "V": ("C", (("pd", "cs"),)),
+    "L": ("Q", ()),
+    "M": ("I", ()),
+    "O": ("Y", ()),
+    "N": ("X", (("j", "f"),)),
+    "U": ("Z", ()),
+}
+# Per category the features that all forms of a lexeme share; the others are those of a form.
+LEXEME = {"N": ("type", "gender"), "V": ("type", "aspect"), "A": ("type",), "R": ("type",), "P": ("type",), "M": ("form", "type"), "S": ("case",), "C": ("type",), "X": ("type",)}
 # Dependency labels of the positional system, in English and as stored.
 LABELS = {"Root": "modra", "Atr": "dol", "PPart": "del", "Coord": "prir", "Conj": "vez", "MWU": "skup", "Sb": "ena", "Obj": "dve", "AdvM": "tri", "AdvO": "štiri"}
 
@@ -47,6 +67,25 @@ def decode_msd(msd: Column) -> Column:
     return out
 
 
+def split_msd(msd: Column) -> Column:
+    """struct<lexeme,form> of decode_msd()'s map: pos and the features of LEXEME, and the others. Both are empty for an unknown category."""
+    own = F.array(F.lit("pos"))
+    for letter, names in LEXEME.items():
+        own = F.when(F.substring(msd, 1, 1) == letter, F.array(*map(F.lit, ("pos", *names)))).otherwise(own)
+    feats = decode_msd(msd)
+    return F.struct(F.map_filter(feats, lambda k, _: F.array_contains(own, k)).alias("lexeme"), F.map_filter(feats, lambda k, _: ~F.array_contains(own, k)).alias("form"))
+
+
+def translate_msd(msd: Column) -> Column:
+    """A tag in native spelling as it is stored, position by position; what NATIVE doesn't know stays as it is."""
+    out = msd
+    for native, (letter, positions) in NATIVE.items():
+        said = [F.translate(F.substring(msd, i, 1), own, english) for i, (own, english) in enumerate(positions, 2)]
+        rest = F.substr(msd, F.lit(len(positions) + 2))
+        out = F.when(F.substring(msd, 1, 1) == native, F.concat(F.lit(letter), *said, rest)).otherwise(out)
+    return out
+
+
 def named_feature(msd: Column, key: str, values) -> Column:
     """Whether a tag of named features (k=v|k=v) has the feature with one of the values."""
     held = F.concat(F.lit("|"), msd, F.lit("|"))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from .functions.association import delta_p, log_dice
 from .functions.predicates import accepts
-from .functions.tags import decode_msd
+from .functions.tags import decode_msd, split_msd, translate_msd
 from .operators import collocations as C
 from .operators import represent as R
 from .operators.matcher import fixed_order, match_catalogue, match_structure
@@ -199,12 +199,18 @@ def msd_decode(spark, d):
     return _forms(spark, d).select("msd").distinct().select("msd", *(feats[k].alias(n) for k, n in (("pos", "pos"), ("gender", "gender"), ("number", "number"), ("case", "gcase"))))
 
 
-def sz_kh_rule(spark, d):
-    """The settled first lemma of made keys (s or k, then a document's first letters)."""
-    rows = spark.read.parquet(f"{d}/documents.parquet").select("doc_id", F.explode(F.array(*map(F.lit, "szkh"))).alias("p"), F.lower(F.substring("text", 1, 3)).alias("t")).where("t <> ''")
-    token = lambda c: F.struct(F.col(c).alias("lemma"))
-    words = F.map_from_entries(F.array(F.struct(F.lit("1").alias("key"), token("p").alias("value")), F.struct(F.lit("2").alias("key"), token("t").alias("value"))))
-    return rows.select("doc_id", "p", F.get(C.collocation_key(words), F.lit(0))["lemma"].alias("settled"))
+def msd_translate(spark, d):
+    """Tags in native spelling, made of the parts' columns, as they are stored, with the features of lexeme and form."""
+    def pick(letters, column):
+        return F.element_at(F.array(*map(F.lit, letters)), (F.col(column) % len(letters) + 1).cast("int"))
+
+    gender, number, case, person = pick("mzs", "p_size"), pick("edm", "p_partkey"), pick("irdtmo", "p_size"), pick("pdt", "p_partkey")
+    kinds = (("So", gender, number, case), ("Gg", pick("dnv", "p_size"), F.lit("s"), person, number), ("Ppp", gender, number, case), ("Zs", person, gender, number, case, pick("edm", "p_size")), ("Kbv", gender, number, case), ("D", case))
+    native = F.explode(F.array(*(F.concat(F.lit(head), *rest) for head, *rest in kinds)))
+    tags = spark.read.parquet(f"{d}/part.parquet").select("p_size", "p_partkey").select(native.alias("native")).groupBy("native").agg(F.count("*").alias("n"))
+    parts = tags.select("native", "n", translate_msd(F.col("native")).alias("msd")).withColumn("f", split_msd(F.col("msd")))
+    said = lambda side: F.array_join(F.array_sort(F.transform(F.map_entries(F.col(f"f.{side}")), lambda e: F.concat_ws("=", e["key"], e["value"]))), "|")
+    return parts.select("native", "msd", "n", said("lexeme").alias("lexeme"), said("form").alias("form"))
 
 
 def sz_kh_words(spark, d):
@@ -275,7 +281,7 @@ QUERIES = {
     "rep_any": rep_any, "rep_all_forms": rep_all_forms, "rep_lexis": _rep('<feature rendition="lexis" string="zz"/>'), "rep_lemma": _rep('<feature rendition="lemma"/>'), "rep_word_form": _rep('<feature rendition="word_form"/>'), "rep_lowercase": _rep('<feature rendition="word_form"/><feature selection="all"/><feature format="lowercase"/>'),
     "rep_msd": _rep('<feature rendition="word_form"/><feature selection="msd" Case="Nom"/>'), "rep_agreement": _rep('<feature rendition="word_form"/><feature selection="agreement" msd="case" head_cid="1"/>', head='<feature rendition="word_form"/>'),
     "read_conllu": read_conllu_tokens, "read_tei": read_tei_links, "jos_match": jos_match,
-    "lexicon_build": lexicon_build, "lexicon_lookup": lexicon_lookup, "msd_decode": msd_decode, "sz_kh_rule": sz_kh_rule, "sz_kh_words": sz_kh_words, "colloc_report": colloc_report, "sentence_map": sentence_map,
+    "lexicon_build": lexicon_build, "lexicon_lookup": lexicon_lookup, "msd_decode": msd_decode, "msd_translate": msd_translate, "sz_kh_words": sz_kh_words, "colloc_report": colloc_report, "sentence_map": sentence_map,
 }
 
 TOK = r"""
@@ -315,6 +321,26 @@ u AS (SELECT lemma, msd, form AS text, count(*) AS f FROM t GROUP BY ALL),
 w AS (SELECT a.lemma, a.msd, CASE WHEN b.f IS NULL THEN a.text ELSE lower(a.text) END AS text, a.f FROM u a LEFT JOIN u b ON a.lemma = b.lemma AND a.msd = b.msd AND b.text = lower(a.text) AND a.text[1] = upper(a.text[1]) AND a.text[1] <> lower(a.text[1]) AND b.f <= a.f AND b.f >= 0.1 * a.f),
 best AS (SELECT lemma, msd, text FROM (SELECT *, row_number() OVER (PARTITION BY lemma, msd ORDER BY f DESC, text) AS k FROM w) WHERE k = 1)"""
 _TAGS = f"m AS (SELECT a.lemma AS l1, b.lemma AS l2, a.msd AS am, b.msd AS bm FROM t a{_E}), c AS (SELECT l1, l2, bm, row_number() OVER (PARTITION BY l1, l2 ORDER BY count(*) DESC, bm) AS k FROM m GROUP BY l1, l2, bm)"
+def _picked(words, column: str) -> str:
+    return "([" + ", ".join(f"'{w}'" for w in words) + f"])[{column} % {len(words)} + 1]"
+
+
+_AT = {"g": "p_size", "n": "p_partkey", "c": "p_size", "p": "p_partkey", "a": "p_size", "o": "p_size"}
+_SAID = {  # native letters, stored letters, feature and values
+    "g": ("mzs", "mfn", "gender", ("masculine", "feminine", "neuter")), "n": ("edm", "sdp", "number", ("singular", "dual", "plural")),
+    "c": ("irdtmo", "ngdali", "case", ("nominative", "genitive", "dative", "accusative", "locative", "instrumental")),
+    "p": ("pdt", "123", "person", ("first", "second", "third")), "a": ("dnv", "epb", "aspect", ("perfective", "progressive", "biaspectual")),
+    "o": ("edm", "sdp", "owner_number", ("singular", "dual", "plural")),
+}
+
+
+def _tagged(parts: tuple, lexeme: tuple, form: tuple) -> str:
+    """A made tag: parts are (native, stored) texts or keys of _SAID; lexeme and form are said features, by name."""
+    spell = lambda k: " || ".join(f"'{x[k]}'" if isinstance(x, tuple) else _picked(_SAID[x][k], _AT[x]) for x in parts)
+    said = lambda names: " || '|' || ".join(f"'{x}'" if "=" in x else f"'{_SAID[x][2]}=' || {_picked(_SAID[x][3], _AT[x])}" for x in names) or "''"
+    return f"SELECT {spell(0)} AS native, {spell(1)} AS msd, {said(lexeme)} AS lexeme, {said(form)} AS form FROM part"
+
+
 _FORMS = """
 WITH forms AS (SELECT p_brand AS lemma, 'Nc' || (['m', 'f', 'n'])[p_size % 3 + 1] || (['s', 'd', 'p'])[length(p_type) % 3 + 1] || 'n' AS msd, p_type AS form, count(*) AS frequency FROM part GROUP BY ALL),
 lex AS (SELECT * EXCLUDE n FROM (SELECT *, row_number() OVER (PARTITION BY lemma, msd ORDER BY frequency DESC, form) AS n FROM forms) WHERE n = 1)"""
@@ -368,7 +394,13 @@ FROM k JOIN o USING (sid, l1, l2) JOIN c USING (sid, l1, l2) JOIN best ON best.l
     "lexicon_build": f"{_FORMS} SELECT lemma, msd, form, frequency FROM lex",
     "lexicon_lookup": f"{_FORMS}, k AS (SELECT *, row_number() OVER (PARTITION BY lemma ORDER BY frequency DESC, msd, form) AS n FROM lex WHERE msd[3] = 'f') SELECT b.lemma, k.form, k.msd AS form_msd FROM (SELECT DISTINCT lemma FROM forms) b LEFT JOIN k ON k.lemma = b.lemma AND k.n = 1",
     "msd_decode": f"{_FORMS} SELECT DISTINCT msd, 'noun' AS pos, CASE msd[3] WHEN 'm' THEN 'masculine' WHEN 'f' THEN 'feminine' ELSE 'neuter' END AS gender, CASE msd[4] WHEN 's' THEN 'singular' WHEN 'd' THEN 'dual' ELSE 'plural' END AS number, 'nominative' AS gcase FROM forms",
-    "sz_kh_rule": "SELECT doc_id, p, CASE WHEN p IN ('s', 'z') THEN CASE WHEN t[1] IN ('c', 'č', 'f', 'h', 'k', 'p', 's', 'š', 't') THEN 's' ELSE 'z' END ELSE CASE WHEN t[1] IN ('g', 'k') THEN 'h' ELSE 'k' END END AS settled FROM (SELECT doc_id, unnest(['s', 'z', 'k', 'h']) AS p, lower(substr(text, 1, 3)) AS t FROM documents) WHERE t <> ''",
+    "msd_translate": "SELECT native, msd, count(*) AS n, lexeme, form FROM (" + " UNION ALL ".join((
+        _tagged((("So", "Nc"), "g", "n", "c"), ("g", "pos=noun", "type=common"), ("c", "n")),
+        _tagged((("Gg", "Vm"), "a", ("s", "r"), "p", "n"), ("a", "pos=verb", "type=main"), ("n", "p", "vform=present")),
+        _tagged((("Ppp", "Agc"), "g", "n", "c"), ("pos=adjective", "type=general"), ("c", "degree=comparative", "g", "n")),
+        _tagged((("Zs", "Ps"), "p", "g", "n", "c", "o"), ("pos=pronoun", "type=possessive"), ("c", "g", "n", "o", "p")),
+        _tagged((("Kbv", "Mlo"), "g", "n", "c"), ("form=letter", "pos=numeral", "type=ordinal"), ("c", "g", "n")),
+        _tagged((("D", "S"), "c"), ("c", "pos=preposition"), ()))) + ") GROUP BY ALL",
     "sz_kh_words": f"{TOK} SELECT lemma, p, CASE WHEN p IN ('s', 'z') THEN CASE WHEN lemma[1] IN ('c', 'č', 'f', 'h', 'k', 'p', 's', 'š', 't') THEN 's' ELSE 'z' END ELSE CASE WHEN lemma[1] IN ('g', 'k') THEN 'h' ELSE 'k' END END AS settled, count(*) AS frequency FROM t, (SELECT unnest(['s', 'z', 'k', 'h']) AS p) GROUP BY ALL",
     "sentence_map": f"{ORD}{LABELLED}, m AS (SELECT a.lemma AS l1, b.lemma AS l2, a.file_ix, a.tok AS ta, b.tok AS tb FROM t a{_E}), c AS (SELECT l1, l2, row_number() OVER (ORDER BY min((file_ix, ta, tb))) AS id FROM m GROUP BY l1, l2) SELECT c.id AS \"Collocation_id\", CAST(file_ix AS VARCHAR) AS \"Sentence_id\", file_ix || '.' || ta || '|' || file_ix || '.' || tb AS \"Token_ids\" FROM m JOIN c USING (l1, l2)",
 }

@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.arrays import let
-from ..functions.tags import translate_label
+from ..functions.tags import translate_label, translate_msd
 
 KEY = ("file_ix", "sent_ix")
 TOKEN = "struct<tok:int,token_id:string,int_id:int,form:string,lemma:string,msd:string,pos:string,glue:boolean,previous_glue:boolean,is_root:boolean>"
@@ -59,6 +59,12 @@ def ud_msd(pos: Column, feats: Column) -> Column:
     return F.concat(given, F.when(given == "", "").otherwise("|"), F.lit("POS="), pos)
 
 
+def positional(tag: Column, jos_tags: str) -> tuple[Column, Column]:
+    """A positional tag as it is stored, and its category; with jos_tags="sl" it is given in native spelling."""
+    stored = translate_msd(tag) if jos_tags == "sl" else tag
+    return stored, F.substring(stored, 1, 1)
+
+
 def _token(tok, token_id, form, lemma, msd, pos, glue=None, previous=None, root=False, number=None) -> Column:
     flag = lambda x: F.lit(False) if x is None else x
     token_id = token_id.cast("string")
@@ -90,12 +96,12 @@ def file_numbers(spark: SparkSession, files: list[str]) -> DataFrame:
     return spark.createDataFrame(list(zip(files, range(len(files)), strict=True)), "path string, file_ix int")
 
 
-def read_conllu(spark: SparkSession, paths: str | list[str], *, ud: bool = True, jos_labels: str = "sl", files: DataFrame | None = None) -> Corpus:
+def read_conllu(spark: SparkSession, paths: str | list[str], *, ud: bool = True, jos_labels: str = "sl", jos_tags: str = "en", files: DataFrame | None = None) -> Corpus:
     """CoNLL-U and CoNLL-U Plus: a sentence is a run of lines up to an empty one; lines end with LF or CRLF.
 
     Columns are those of `# global.columns`, or the ten of CoNLL-U. Multiword and empty-node lines are skipped. A sentence
     without tokens gives no row; one without sent_id has a null sentence_id. Directories are read through, in path order;
-    .zstd files are skipped. jos_labels="en" translates dependency labels. sent_ix rises along a file but has gaps: it is
+    .zstd files are skipped. jos_labels="en" translates dependency labels, jos_tags="sl" positional tags. sent_ix rises along a file but has gaps: it is
     the start of the scan's block and the place of the sentence in its task, so no row is moved to number it. Files with
     LF are split over tasks at empty lines; one with CRLF has none that the scan knows, so each of its blocks is one record.
     """
@@ -119,7 +125,7 @@ def read_conllu(spark: SparkSession, paths: str | list[str], *, ud: bool = True,
     def token(line: Column, i: Column) -> Column:
         misc = F.concat(F.lit("|"), F.coalesce(cell(line, "MISC"), F.lit("")), F.lit("|"))
         common = (i + 1, cell(line, "ID"), cell(line, "FORM"), cell(line, "LEMMA"))
-        tag = (ud_msd(cell(line, "UPOS"), cell(line, "FEATS")), cell(line, "UPOS")) if ud else (cell(line, "XPOS"), F.substring(cell(line, "XPOS"), 1, 1))
+        tag = (ud_msd(cell(line, "UPOS"), cell(line, "FEATS")), cell(line, "UPOS")) if ud else positional(cell(line, "XPOS"), jos_tags)
         return _token(*common, *tag, misc.contains("|SpaceAfter=No|"))
 
     label = lambda x: cell(x, "DEPREL") if ud or jos_labels == "sl" else translate_label(cell(x, "DEPREL"))
@@ -164,8 +170,8 @@ def tei_sentences(data: bytes, ud: bool) -> Iterator[tuple[str, list[dict], list
         yield ident(sentence), words, links
 
 
-def read_tei(spark: SparkSession, paths: str | list[str], *, ud: bool = True, jos_labels: str = "sl", files: DataFrame | None = None) -> Corpus:
-    """TEI XML: both link encodings (from/dep/afun, and ana/target), glue from join="right". A link to a word outside its sentence is left out. A document is one task's work."""
+def read_tei(spark: SparkSession, paths: str | list[str], *, ud: bool = True, jos_labels: str = "sl", jos_tags: str = "en", files: DataFrame | None = None) -> Corpus:
+    """TEI XML: both link encodings (from/dep/afun, and ana/target), glue from join="right". A link to a word outside its sentence is left out. A document is one task's work. jos_labels="en" translates dependency labels, jos_tags="sl" positional tags."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -180,7 +186,7 @@ def read_tei(spark: SparkSession, paths: str | list[str], *, ud: bool = True, jo
 
     def token(w: Column, i: Column) -> Column:
         before = F.coalesce(F.get(F.col("words.glue"), i - 1), F.lit(False))
-        tag = (ud_msd(w["pos"], w["msd"]), w["pos"]) if ud else (w["msd"], F.substring(w["msd"], 1, 1))
+        tag = (ud_msd(w["pos"], w["msd"]), w["pos"]) if ud else positional(w["msd"], jos_tags)
         return _token(i + 1, F.substring_index(w["id"], ".", -1), w["form"], w["lemma"], *tag, w["glue"], before, number=_number(w["id"]))
 
     label = lambda x: x["label"] if jos_labels == "sl" else translate_label(x["label"])

@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from lexarbor.functions.tags import decode_msd
+from lexarbor.functions.tags import decode_msd, split_msd, translate_msd
 from lexarbor.operators.collocations import collocation_key, lowercase_forms
 from lexarbor.operators.matcher import match_structure
 from lexarbor.operators.wordfeats import common_features, common_tag
@@ -107,6 +107,28 @@ def test_sz_kh_of_whole_texts(spark, tmp_path):
     assert got == {(w, p): (sz if p in "sz" else kh, n) for w, (sz, kh, n) in words.items() for p in "szkh"}
 
 
+def test_native_tags(spark, tmp_path):
+    pairs = {"Somei": "Ncmsn", "Sometd": "Ncmsay", "Ggdd-em": "Vmep-sm", "Gp-spe-d": "Va-r1s-y", "Ggdm": "Vmeu", "Gp-g": "Va-c", "Ppnmeid": "Agpmsny", "Pdnmein": "Appmsnn", "Rsr": "Rgc", "Zspmedd": "Ps1msdd", "Zp---d--k": "Px---d--y", "Zp---t--z": "Px---a--b", "Kag": "Mdc", "Kbvmei": "Mlomsn", "Dt": "Sa", "Vd": "Cs", "L": "Q", "M": "I", "O": "Y", "N": "X", "Nj": "Xf", "U": "Z", "": "", "?x": "?x"}
+    df = spark.createDataFrame([*pairs.items(), (None, None)], "native string, msd string")
+    assert df.where(~translate_msd(F.col("native")).eqNullSafe(F.col("msd"))).count() == 0
+    row = df.where("native = 'Ggdd-em'").select(split_msd(F.col("msd")).alias("x")).first()["x"]
+    assert (row["lexeme"], row["form"]) == ({"pos": "verb", "type": "main", "aspect": "perfective"}, {"vform": "participle", "number": "singular", "gender": "masculine"})
+    row = spark.sql("SELECT '?x' AS m").select(split_msd(F.col("m")).alias("x")).first()["x"]
+    assert (row["lexeme"], row["form"]) == ({}, {})
+    (tmp_path / "a.xml").write_bytes(TEI.replace(b'msd="UPosTag=ADJ|Case=Nom"', b'ana="mte:Ppnzei"').replace(b'msd="UPosTag=PUNCT"', b'ana="mte:U"').replace(b'msd="UPosTag=NOUN"', b'ana="mte:Sozei"'))
+    c = read_tei(spark, str(tmp_path / "a.xml"), ud=False, jos_tags="sl")
+    assert [(r["pos"], r["msd"]) for r in c.tokens.orderBy("tok").collect()[1:]] == [("A", "Agpfsn"), ("Z", "Z"), ("N", "Ncfsn")]
+
+
+def test_a_store_is_resumed(spark, tmp_path):
+    c, xml, store = corpus(spark, tmp_path), parse_catalogue(pattern(TOP, "1 2 amod")), str(tmp_path / "store")
+    first = [tuple(r) for r in Analysis(c, xml, store=store).report.collect()]
+    (tmp_path / "store" / "collocations" / "_SUCCESS").unlink()  # as a run that was cut off leaves it
+    stamp = (tmp_path / "store" / "matches" / "_SUCCESS").stat().st_mtime_ns
+    assert [tuple(r) for r in Analysis(c, xml, store=store).report.collect()] == first == [tuple(r) for r in Analysis(c, xml).report.collect()]
+    assert (tmp_path / "store" / "matches" / "_SUCCESS").stat().st_mtime_ns == stamp and (tmp_path / "store" / "collocations" / "_SUCCESS").exists()
+
+
 def test_lexicon(spark):
     forms = spark.createDataFrame([("a", "Ncfsn", "a", 3), ("a", "Ncfsn", "b", 5), ("a", "Ncmsn", "c", 1)], "lemma string, msd string, form string, frequency long")
     lexicon = build_lexicon(forms)
