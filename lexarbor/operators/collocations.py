@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.corpus import Corpus
+from .prefix import sums_before
 
 # Before these letters the preposition is s, and before those h.
 S_BEFORE, H_BEFORE = tuple("cčfhkpsšt"), ("g", "k")
@@ -36,20 +37,13 @@ def with_keys(matches: DataFrame, lang: str = "sl") -> DataFrame:
 
 
 def collocations(matches: DataFrame) -> DataFrame:
-    """(structure_id, structure_ix, key, collocation_id, frequency, first): ids are dense from 1, in the order of first embeddings.
+    """(structure_id, structure_ix, key, collocation_id, frequency, first): ids are dense from 1, in the order of first embeddings by file, structure and place.
 
-    Ids are counted inside (file, structure) and shifted by the counts before them, so no task sees all collocations.
+    An id is the number of collocations before it, by prefix sums over ranges, so no task sees all collocations.
     """
     grouped = matches.groupBy("structure_id", "structure_ix", "key").agg(F.count("*").alias("frequency"), F.min_by(F.struct("words", "found", "file_ix", "sent_ix"), "found").alias("first"))
-    grouped = grouped.withColumn("file_ix", F.col("first.file_ix"))
-    inside = F.row_number().over(Window.partitionBy("file_ix", "structure_ix").orderBy("first.found"))
-    blocks = grouped.groupBy("file_ix", "structure_ix").agg(F.count("*").alias("n"))
-    files = blocks.groupBy("file_ix").agg(F.sum("n").alias("all"))
-    upto = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
-    files = files.select("file_ix", F.coalesce(F.sum("all").over(upto(Window.orderBy("file_ix"))), F.lit(0)).alias("before_file"))
-    blocks = blocks.join(files, "file_ix").select("file_ix", "structure_ix", (F.col("before_file") + F.coalesce(F.sum("n").over(upto(Window.partitionBy("file_ix").orderBy("structure_ix"))), F.lit(0))).alias("before"))
-    out = grouped.withColumn("inside", inside).join(blocks, ["file_ix", "structure_ix"])
-    return out.select("structure_id", "structure_ix", "key", (F.col("before") + F.col("inside")).cast("long").alias("collocation_id"), "frequency", "first")
+    out = sums_before(grouped, [F.col("first.file_ix"), F.col("structure_ix"), F.col("first.found")], {"before": F.lit(1)})
+    return out.select("structure_id", "structure_ix", "key", (F.col("before") + 1).alias("collocation_id"), "frequency", "first")
 
 
 def uniq_words(corpus: Corpus) -> DataFrame:

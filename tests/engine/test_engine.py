@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from lexarbor.functions.tags import decode_msd, split_msd, translate_msd
 from lexarbor.operators.collocations import collocation_key, lowercase_forms
 from lexarbor.operators.matcher import match_structure
+from lexarbor.operators.prefix import sums_before
 from lexarbor.operators.wordfeats import common_features, common_tag
 from lexarbor.plans.report import Analysis, Config
 from lexarbor.plans.structures import parse_catalogue
@@ -129,6 +130,17 @@ def test_a_store_is_resumed(spark, tmp_path):
     assert (tmp_path / "store" / "matches" / "_SUCCESS").stat().st_mtime_ns == stamp and (tmp_path / "store" / "collocations" / "_SUCCESS").exists()
 
 
+def test_sums_before_over_ranges(spark):
+    rows = spark.range(1000).select(F.when(F.col("id") > 3, F.col("id") * 7919 % 1009).alias("k"), F.col("id").alias("v"), F.lit("x").alias("__before"))
+    order = [F.col("k").desc_nulls_last(), F.col("v")]
+    got = {r["v"]: (r["before"], r["n"]) for r in sums_before(rows, order, {"before": F.col("v"), "n": F.lit(1)}).collect()}
+    total, want = 0, {}
+    for i, (_, v) in enumerate(sorted(((-(v * 7919 % 1009) if v > 3 else 1, v) for v in range(1000)))):
+        want[v], total = (total, i), total + v
+    assert got == want
+    assert sums_before(rows.limit(0), order, {"n": F.lit(1)}).count() == 0
+
+
 def test_lexicon(spark):
     forms = spark.createDataFrame([("a", "Ncfsn", "a", 3), ("a", "Ncfsn", "b", 5), ("a", "Ncmsn", "c", 1)], "lemma string, msd string, form string, frequency long")
     lexicon = build_lexicon(forms)
