@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..operators.prefix import sums_before
 from .common import staged, table
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -32,19 +33,18 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...], max_repeat: int)
 
     Sources by code point, null last, weigh as in weights, repeating. Water-filling: with sources sorted by cap/weight,
     level_i = (all - caps before i) / (weights from i on) rises up to the first source below its cap and falls after it,
-    so the largest level is the one at which everything is handed out. The windows run over a row per source.
+    so the largest level is the one at which everything is handed out. Ranks and sums are prefix sums over ranges of
+    sources, so no task sees them all; the driver gets two totals and the level.
     """
     per_source = sizes.groupBy("source").agg(F.sum("size").alias("source_size"))
-    ranked = per_source.withColumn("rank", F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())))
-    weight = F.element_at(F.array(*map(F.lit, weights)), ((F.col("rank") - 1) % len(weights) + 1).cast("int"))
+    ranked = sums_before(per_source, [F.col("source").asc_nulls_last()], {"rank": F.lit(1)})
+    weight = F.element_at(F.array(*map(F.lit, weights)), (F.col("rank") % len(weights) + 1).cast("int"))
     capped = ranked.withColumn("weight", weight.cast("long")).withColumn("cap", F.col("source_size") * max_repeat)
-    by_ratio = Window.orderBy(F.col("cap") / F.col("weight"), "rank")
-    everything = Window.partitionBy()
-    before = F.coalesce(F.sum("cap").over(by_ratio.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    left = F.sum("weight").over(by_ratio.rowsBetween(0, Window.unboundedFollowing))
-    levelled = capped.withColumn("level", (F.sum("source_size").over(everything) - before).cast("double") / left)
-    level = F.max("level").over(everything)
-    return levelled.select("source", "source_size", F.least(F.col("cap").cast("double"), F.col("weight") * level).alias("target"))
+    placed = sums_before(capped, [F.col("cap") / F.col("weight"), F.col("rank")], {"caps": F.col("cap"), "weights": F.col("weight")})
+    size, weighs = placed.agg(F.sum("source_size"), F.sum("weight")).first()
+    level = (F.lit(size) - F.col("caps")).cast("double") / (F.lit(weighs) - F.col("weights"))
+    highest = F.lit(placed.agg(F.max(level)).first()[0]).cast("double")
+    return placed.select("source", "source_size", F.least(F.col("cap").cast("double"), F.col("weight") * highest).alias("target"))
 
 
 def _crossing(rows: DataFrame, cuts: DataFrame, shift: int) -> DataFrame:
