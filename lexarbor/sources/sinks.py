@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from .corpus import Corpus
+from .corpus import KEY, Corpus
 
 
 @F.pandas_udf(StringType())
@@ -65,7 +65,7 @@ def write_conllu(corpus: Corpus, path: str) -> None:
 
 
 def write_tei(corpus: Corpus, path: str, buckets: int) -> None:
-    """TEI documents of a UD corpus as for write_conllu, one per bucket of file numbers, so a document is bounded by its bucket."""
+    """Gzipped TEI documents of a UD corpus as for write_conllu, one per bucket of file numbers. A document is written row by row in the order of its sentences, after a sort that spills, so no task holds it."""
     safe = lambda c: F.replace(F.replace(F.replace(F.replace(c, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit('"'), F.lit("&quot;")), F.lit(">"), F.lit("&gt;"))
     name = lambda i: F.when(i == 0, F.col("sentence_id")).otherwise(F.concat_ws(".", "sentence_id", i))
 
@@ -76,7 +76,11 @@ def write_tei(corpus: Corpus, path: str, buckets: int) -> None:
 
     link = lambda t, x: F.concat(F.lit('<link ana="ud-syn:'), x["label"], F.lit('" target="#'), name(x["head"]), F.lit(" #"), name(x["dep"]), F.lit('"/>'))
     sentence = F.concat(F.lit('<s xml:id="'), F.col("sentence_id"), F.lit('">'), F.array_join(_words(corpus, word), ""), F.lit("<linkGrp>"), F.array_join(_words(corpus, link), ""), F.lit("</linkGrp></s>"))
-    rows = corpus.sentences.select((F.xxhash64("file_ix") % buckets).alias("bucket"), F.struct("file_ix", "sent_ix", sentence.alias("s")).alias("x"))
-    documents = rows.groupBy("bucket").agg(F.sort_array(F.collect_list("x")).alias("x"))
-    text = F.concat(F.lit('<TEI xmlns="http://www.tei-c.org/ns/1.0"><text><body><p>'), F.array_join("x.s", "\n"), F.lit("</p></body></text></TEI>"))
-    documents.select("bucket", text.alias("value")).write.partitionBy("bucket").text(path)
+    bucket = lambda c: c.cast("long").alias("bucket")
+    rows = corpus.sentences.select(bucket(F.xxhash64("file_ix") % buckets), F.lit(1).alias("part"), *KEY, sentence.alias("value"))
+    head, foot = F.lit('<TEI xmlns="http://www.tei-c.org/ns/1.0"><text><body><p>'), F.lit("</p></body></text></TEI>")
+    for part, text in ((0, head), (2, foot)):  # the remainder has the sign of the hash
+        ends = corpus.sentences.sparkSession.range(1 - buckets, buckets, 1, 1)
+        rows = rows.unionByName(ends.select(bucket(F.col("id")), F.lit(part).alias("part"), *(F.lit(0).alias(k) for k in KEY), text.alias("value")))
+    sorted_rows = rows.repartition(2 * buckets - 1, "bucket").sortWithinPartitions("bucket", "part", *KEY)
+    sorted_rows.select("bucket", "value").write.partitionBy("bucket").option("maxRecordsPerFile", 0).option("compression", "gzip").text(path)

@@ -1,5 +1,8 @@
 """Micro fixtures for the pattern language, the readers and the measures."""
 
+import gzip
+from itertools import islice
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -11,9 +14,9 @@ from lexarbor.operators.wordfeats import common_features, common_tag
 from lexarbor.plans.report import Analysis, Config
 from lexarbor.plans.structures import parse_catalogue
 from lexarbor.queries import EDGE, TOP, catalogue, morph, pattern, structure, sz_kh_words
-from lexarbor.sources.corpus import read_conllu, read_corpus, read_tei
+from lexarbor.sources.corpus import read_conllu, read_corpus, read_tei, tei_sentences
 from lexarbor.sources.lexicon import build_lexicon, find_forms, find_lemma_tags
-from lexarbor.sources.sinks import as_text, write_map, write_report
+from lexarbor.sources.sinks import as_text, write_map, write_report, write_tei
 
 CONLLU = """# sent_id = s1
 1\tVelika\tvelik\tADJ\tAgpfsn\tCase=Nom|Gender=Fem\t2\tamod\t_\t_
@@ -283,3 +286,59 @@ def test_new_documents_are_counted_once(spark, tmp_path):
         count_new_documents(spark, str(tmp_path / "in"), schema, str(tmp_path / "out"), str(tmp_path / "check")).awaitTermination()
     got = total_counts(spark, str(tmp_path / "out")).groupBy("lemma").agg(F.sum("frequency").alias("n")).collect()
     assert {r["lemma"]: r["n"] for r in got} == {"aa": 2, "bb": 1}
+
+
+def odd_tei(n, encoding):
+    """Sentences by a prefix, nested, commented out, in CDATA, and words with children, entities and comments inside."""
+    one = '<t:s xml:id="d.{i}"><t:w xml:id="d.{i}.1" lemma="a" join="right">š&amp;<!-- </t:s> -->x<t:note>no</t:note>no</t:w><t:s id="d.{i}.in"><t:pc id="d.{i}.2"><![CDATA[</s>]]></t:pc></t:s ><t:linkGrp><t:link dep="d.{i}.1" from="d.{i}" afun="root"/></t:linkGrp></t:s >'
+    return (f'<?xml version="1.0" encoding="{encoding}"?><t:TEI xmlns:t="x"><t:p><!-- <t:s id="gone"><t:w>w</t:w></t:s> -->' + "\n".join(one.replace("{i}", str(i)) for i in range(n)) + "</t:p></t:TEI>").encode(encoding)
+
+
+def test_tei_documents_are_read_in_pieces(spark, tmp_path):
+    n, names = 60, ("a.xml", "b.xml.gz", "c.xml", "d.xml")
+    for name, encoding in zip(names, ("utf-8", "utf-8", "utf-16", "iso-8859-2"), strict=True):
+        data = odd_tei(n, encoding)
+        (tmp_path / name).write_bytes(gzip.compress(data) if name.endswith("gz") else data)
+    limits = {"spark.sql.files.maxPartitionBytes": "2000", "spark.sql.sources.binaryFile.maxLength": "1000"}  # no document may come as one value
+    was = {k: spark.conf.get(k) for k in limits}
+    try:
+        for k, v in limits.items():
+            spark.conf.set(k, v)
+        c = read_tei(spark, str(tmp_path))
+        rows = c.sentences.orderBy("file_ix", "sent_ix").collect()
+        links = c.edges.count()
+    finally:
+        for k, v in was.items():
+            spark.conf.set(k, v)
+    expected = [x for i in range(n) for x in ((f"d.{i}", ["š&x", "</s>"], ["a", "</s>"]), (f"d.{i}.in", ["</s>"], ["</s>"]))]
+    assert [(r["sentence_id"], [t["form"] for t in r["tokens"][1:]], [t["lemma"] for t in r["tokens"][1:]]) for r in rows] == expected * len(names)
+    assert [(r["file_ix"], r["sent_ix"]) for r in rows] == [(f, i) for f in range(len(names)) for i in range(2 * n)] and links == n * len(names)
+
+
+@pytest.mark.parametrize("data", [b"<TEI><s><w>x</w></s>", b"<TEI><s><w>x</w></s></TEI", b"<TEI><s></w></s></TEI>"])
+def test_broken_tei_raises(spark, tmp_path, data):
+    (tmp_path / "a.xml").write_bytes(data)
+    with pytest.raises(Exception, match="ParseError"):
+        read_tei(spark, str(tmp_path)).sentences.collect()
+
+
+def test_tei_sentences_come_before_the_document_ends():
+    def endless():
+        yield b"<TEI><p>"
+        while True:
+            yield b'<s id="x"><w id="x.1">a</w>'
+            yield b"</s>"
+
+    assert list(islice(tei_sentences(endless(), True), 1000)) == [("x", [("x.1", "a", None, "", "", False)], [])] * 1000
+
+
+def test_tei_is_written_without_gathering_documents(spark, tmp_path, monkeypatch):
+    text = "".join(f"# sent_id = s{i}\n1\tw<{i}\tw&{i}\tNOUN\t_\t_\t0\troot\t_\t_\n\n" for i in range(500))
+    for name in "abc":
+        (tmp_path / f"{name}.conllu").write_text(text)
+    c = read_conllu(spark, str(tmp_path))
+    monkeypatch.setattr(F, "collect_list", lambda *_: pytest.fail("a document is gathered in a row"))
+    write_tei(c, str(tmp_path / "tei"), buckets=2)
+    read = read_tei(spark, str(tmp_path / "tei"))
+    said = lambda x: [(r["sentence_id"], r["tokens"][1]["form"], r["tokens"][1]["lemma"], r["tokens"][1]["msd"]) for r in x.sentences.orderBy("file_ix", "sent_ix").collect()]
+    assert said(read) == said(c) and read.edges.count() == 1500
